@@ -71,7 +71,7 @@ def resolve_rule(skeleton: str) -> list[tuple[int, int, str]]:
                 k = j + 1
                 while k < hi and skeleton[k] == " ":
                     k += 1
-                if k >= hi or skeleton[k] in ends:
+                if k >= hi or skeleton[k] in ends or skeleton[k] == "p":
                     return j
                 j += 1
         return None

@@ -28,7 +28,6 @@ def _class(token: Column) -> Column:
     )
 
 
-@F.pandas_udf("array<struct<first:int,size:int,escape:string>>")
 def _rules(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for skeletons in batches:
         yield pd.Series([[{"first": a + 1, "size": b - a, "escape": e} for a, b, e in resolve_rule(s)] for s in skeletons])
@@ -55,7 +54,7 @@ def split_packed(entries: DataFrame, keep: list[str], value: str, broadcast_byte
         .select(*keep, F.regexp_extract_all(value, F.lit(TOKEN), F.lit(0)).alias("_tokens"))
         .withColumn("_skeleton", F.array_join(F.transform("_tokens", _class), ""))
     )
-    rules = tokens.select("_skeleton").distinct().withColumn("_rule", _rules("_skeleton")).where(F.size("_rule") >= 2)
+    rules = tokens.select("_skeleton").distinct().withColumn("_rule", F.pandas_udf(_rules, "array<struct<first:int,size:int,escape:string>>")("_skeleton")).where(F.size("_rule") >= 2)
     rules = cut(rules)
     bytes_ = rules.agg(F.sum(F.length("_skeleton") + 24 * F.size("_rule")).alias("n")).first()["n"] or 0
     if bytes_ <= broadcast_bytes:

@@ -14,7 +14,6 @@ _RESULT = "array<struct<spec_field:string,idx:bigint,base_value:bigint>>"
 _KEY_TEST = "^[\\s_\\-]*(?:" + "|".join(f.replace("_", "[\\s_\\-]+") for f in FIELDS) + ")(?![a-z])"
 
 
-@F.pandas_udf(_RESULT)
 def _parse(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for columns in batches:
         out, seen = [], {}
@@ -41,7 +40,7 @@ def common_units(entries: DataFrame, keep: list[str], key: str = "key", value: s
     picked = entries.select(*keep, F.col(key).alias("_key"), F.col(value).alias("_text"), F.col(defaults).alias("_defaults")).where(
         F.col("_key").isNotNull() & F.col("_text").isNotNull() & F.lower("_key").rlike(_KEY_TEST) & F.col("_text").rlike("\\S")
     )
-    parsed = picked.select(*keep, F.inline(_parse("_key", "_text", "_defaults")))
+    parsed = picked.select(*keep, F.inline(F.pandas_udf(_parse, _RESULT)("_key", "_text", "_defaults")))
     return parsed.distinct()
 
 
