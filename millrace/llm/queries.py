@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.canonical import product_values
 from millrace.llm.encoding import restored_digest
 from millrace.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return product_values(table(spark, folder, "product_records"), table(spark, folder, "canonical_values"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return restored_digest(table(spark, folder, "documents"))
 
 
-QUERIES = {"p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
