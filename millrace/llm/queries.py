@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.canonical import product_values
 from millrace.llm.encoding import restored_digest
+from millrace.llm.listings import product_pairs
 from millrace.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return product_pairs(table(spark, folder, "product_listings"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return product_values(table(spark, folder, "product_records"), table(spark, folder, "canonical_values"))
 
@@ -17,5 +22,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return restored_digest(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
