@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.boilerplate import all_furniture
 from millrace.llm.canonical import product_values
 from millrace.llm.encoding import restored_digest
 from millrace.llm.listings import product_pairs
@@ -18,9 +19,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return product_values(table(spark, folder, "product_records"), table(spark, folder, "canonical_values"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return all_furniture(table(spark, folder, "browse_pages"), table(spark, folder, "product_records"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return restored_digest(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
