@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import pipeline_queries
+from millrace.plans import pipeline_queries, reference_queries
 
-QUERIES = {**pipeline_queries.QUERIES}
-ORACLE: dict[str, str] = {}
+QUERIES = {**reference_queries.QUERIES, **pipeline_queries.QUERIES}
+ORACLE: dict[str, str] = {**reference_queries.ORACLE}
