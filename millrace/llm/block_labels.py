@@ -46,6 +46,10 @@ LABELLED = """
 - We use cookies to remember your basket. Got it!
 - Cookies help us run this store and show offers that interest you. Manage preferences
 - Carevale and its partners use tracking technologies. By continuing you agree.
+- Carevale and its partners use tracking technologies to remember your basket. Got it!
+- Your privacy choices matter to improve your visit. By continuing you agree.
+- Cookies help us run this store as set out in our policy. By continuing you agree.
+- © 2024 Carevale. All rights reserved.
 - Brands
 - Clearance
 - Rentals
@@ -103,6 +107,7 @@ LABELLED = """
 - Accueil / Respiratoire / Bath Chair
 + Ostrand Foldable Bath Chair
 + Température conseillée : 22 °C, hygrométrie modérée.
++ N’essayez pas de démonter la housse imperméable lorsque l’usager est assis.
 + Grâce à sa légèreté, l’ensemble facilite la toilette et le séjour à l’hôpital.
 + Nettoyez le tuyau d’évacuation à l’eau tiède après chaque séance.
 + Vérifiez que le frein à main est bien fixé une fois par mois.
@@ -166,6 +171,9 @@ LABELLED = """
 + Impact-resistant anti-tip bar even with one hand
 + Padded armrest
 + Padded backrest
++ Swivelling basket when the brakes are engaged
++ Non-slip hand grip on uneven ground
++ Caregivers report that the padded hand grip saves about 5 minutes per shift.
 + Foldable footplate
 + Low-profile basket
 + Washable armrest
@@ -225,6 +233,8 @@ LABELLED = """
 - Marken
 + Details
 - Join our newsletter
+- We use cookies and show offers that interest you. By continuing you agree.
+- Do not sell my information | Site map | Prices exclude sales tax where due | Accessibility | © 2020 Carevale. All rights reserved.
 - Free shipping over $40
 + Press “SET” for 3 seconds to reset the backrest.
 + Casters: 5 in
