@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from millrace.functions import lines as L, specs as S, text as T
-from millrace.operators import media, pages, quality, resolve, variants
+from millrace.functions import lines as L, markdown, specs as S, text as T
+from millrace.operators import audit, media, pages, quality, records as R, resolve, variants
+from millrace.plans import ingest
 from millrace.sources.tables import table
 from millrace.streaming import queue
 
@@ -468,3 +469,73 @@ def cache_entries(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT event_id, CASE WHEN n <= 26 THEN chr(64 + n) ELSE chr(64 + (n - 1) // 26) || chr(65 + (n - 1) % 26) END AS letters FROM (SELECT event_id, (event_id % 700 + 1)::INT AS n FROM events)")
 def column_letters(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", T.column_letters(F.col("event_id") % 700 + 1).alias("letters"))
+
+
+@query()
+def ingested_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Product records after all stages; each stage is tested by itself."""
+    rows = table(spark, folder, "product_records").dropDuplicates(["record_id"])
+    out = ingest.ingested(rows)
+    return out.select("record_id", "name_raw", "brand", "description_raw", "features_raw", F.size("specs").alias("specs"), "quality_score", "needs_review")
+
+
+@query(
+    """WITH c AS (SELECT record_id, lower(sku) AS low, sku AS code, 1 AS ord, 5 AS base FROM product_records WHERE sku IS NOT NULL UNION ALL SELECT record_id, lower(sku), sku, 2, 3 FROM variants WHERE sku IS NOT NULL),
+    k AS (SELECT record_id, low, trim(regexp_replace(code, '\\s+', ' ', 'g')) AS code, ord, base FROM c WHERE record_id IS NOT NULL AND trim(code) <> '' AND NOT regexp_matches(trim(code), '^([0-9]{8}|[0-9]{12,14})$')),
+    f AS (SELECT record_id, low, min(ord) AS ord, arg_min(code, (ord, -base, code)) AS code, arg_min(base, (ord, -base, code)) AS base FROM k GROUP BY 1, 2),
+    s AS (SELECT *, base + CASE WHEN regexp_matches(code, '[A-Za-z]') AND regexp_matches(code, '[0-9]') THEN 2 ELSE 0 END + CASE WHEN length(code) BETWEEN 3 AND 40 THEN 1 ELSE 0 END AS score FROM f)
+    SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, ord, code) AS rank, code, score::BIGINT AS score FROM s"""
+)
+def ranked_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of each record by its own sku and its variants'."""
+    own = table(spark, folder, "product_records").where("record_id is not null and sku is not null").select("record_id", F.lit(1).alias("ord"), F.lit("structured").alias("source"), F.col("sku").alias("code"))
+    other = table(spark, folder, "variants").where("record_id is not null and sku is not null").select("record_id", F.lit(2).alias("ord"), F.lit("labelled").alias("source"), F.col("sku").alias("code"))
+    return R.ranked_codes(own.union(other), "record_id")
+
+
+@query("SELECT DISTINCT record_id, CASE WHEN regexp_matches(w, '^[A-Z][A-Za-z0-9-]+$') AND NOT list_contains(['" + "','".join(R.NO_BRAND) + "'], lower(w)) THEN w ELSE '' END AS brand FROM (SELECT record_id, string_split(" + _strip(f"regexp_replace(coalesce(name_raw, ''), '{_WS}+', ' ', 'g')") + ", ' ')[1] AS w FROM product_records)")
+def named_brands(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "product_records").select("record_id", R.brand_of_name(F.col("name_raw")).alias("brand")).distinct()
+
+
+@query("SELECT DISTINCT page_id, regexp_extract(lower(source_url), '/p/([a-z0-9._-]+)', 1) AS code FROM browse_pages WHERE regexp_matches(lower(source_url), '/p/[a-z0-9._-]')")
+def url_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "browse_pages").select("page_id", F.explode(R.codes_of_url(F.col("source_url"))).alias("code")).distinct()
+
+
+@query(
+    "WITH r AS (SELECT record_id, any_value(name_raw) AS name, any_value(description_raw) AS d, any_value(specs) AS specs, any_value(features_raw) AS f FROM product_records GROUP BY 1) SELECT record_id, coalesce(name, '') AS title, substr("
+    + _strip("regexp_replace(coalesce(d, ''), chr(10) || '+', ' ', 'g')")
+    + ", 1, 155) AS meta, lower(array_to_string(list_filter(list_concat(coalesce(list_sort(map_keys(specs)), []), coalesce(f, [])), lambda x: x IS NOT NULL), ', ')) AS keywords, regexp_replace(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM r"
+)
+def record_search_fields(spark: SparkSession, folder: str) -> DataFrame:
+    one = table(spark, folder, "product_records").groupBy("record_id").agg(*(F.any_value(c).alias(c) for c in ("name_raw", "description_raw", "specs", "features_raw")))
+    return one.select("record_id", R.search_fields(F.col("name_raw"), F.col("description_raw"), F.col("specs"), F.col("features_raw")).alias("s")).select("record_id", "s.*")
+
+
+@query("SELECT p_partkey, '| Spec | Value |' || chr(10) || '|---|---|' || chr(10) || '| P Brand | ' || p_brand || ' |' || chr(10) || '| P Size | ' || p_size || ' |' AS markdown FROM part")
+def markdown_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select("p_partkey", markdown.spec_table(F.create_map(F.lit("p_size"), F.col("p_size").cast("string"), F.lit("p_brand"), "p_brand")).alias("markdown"))
+
+
+@query(
+    "SELECT DISTINCT listing_id, array_to_string(list_filter([CASE WHEN coalesce(sku, '') <> '' AND contains(lower(name), lower(sku)) THEN 'sku' END, CASE WHEN regexp_matches(name, '(?:^|[^0-9])(?:[0-9]{8}|[0-9]{12,14})(?:[^0-9]|$)') THEN 'gtin' END, CASE WHEN regexp_matches(name, '[™®℠©]') THEN 'mark' END, CASE WHEN regexp_matches("
+    + _strip("name")
+    + r", '(?i)(?:[-–,:;&]|\s(?:and|or|with|for|of|the))$') THEN 'hanging end' END], lambda x: x IS NOT NULL), ',') AS faults FROM product_listings"
+)
+def name_faults(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "product_listings").select("listing_id", F.array_join(audit.name_faults(F.col("name"), F.col("sku")), ",").alias("faults")).distinct()
+
+
+@query("WITH s AS (SELECT listing_id, any_value(images) AS i FROM product_listings GROUP BY 1) SELECT listing_id, count(DISTINCT lower(split_part(regexp_extract(u, '([^/]*)$', 1), '?', 1)))::BIGINT AS images FROM (SELECT listing_id, unnest(i) AS u FROM s) WHERE u IS NOT NULL GROUP BY 1")
+def image_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many different images each listing shows."""
+    one = table(spark, folder, "product_listings").groupBy("listing_id").agg(F.any_value("images").alias("i"))
+    return one.select("listing_id", F.explode("i").alias("u")).where("u is not null").groupBy("listing_id").agg(F.count_distinct(media.image_key(F.col("u"))).alias("images"))
+
+
+@query("SELECT event_id, sha256(event_type) IS NOT NULL AS signed, TRUE AS holds FROM events")
+def signed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Signatures of event payloads, and whether they hold."""
+    rows = table(spark, folder, "events").select("event_id", "event_type", R.signed(F.col("event_type"), "secret").alias("s"))
+    return rows.select("event_id", F.col("s").isNotNull().alias("signed"), R.signature_holds(F.col("event_type"), F.col("s"), "secret").alias("holds"))
