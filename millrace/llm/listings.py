@@ -178,7 +178,8 @@ def product_groups(listings: DataFrame, threshold: float = 0.5) -> DataFrame:
     # The words that tell, of each listing, with slips put right.
     main_kind = F.array_min("kind_words")
     each = seen.select("listing_id", "number", main_kind.alias("kind"), F.explode("words").alias("word")).join(telling, "word")
-    by_word = each.groupBy("word").agg(F.max("n").alias("n"), F.mode("number").alias("number"))
+    numbered = each.groupBy("word", "number").agg(F.max("n").alias("n"), F.count("*").alias("c"))
+    by_word = numbered.groupBy("word").agg(F.max("n").alias("n"), F.max_by("number", F.when(F.col("number").isNotNull(), F.struct("c", "number"))).alias("number"))
     slips = cut(respelled(by_word.withColumn("kind", F.lit(""))))
     put_right = each.select("listing_id", "word").join(slips, "word", "left").select("listing_id", F.coalesce("to", "word").alias("word"))
     words = put_right.groupBy("listing_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
@@ -187,7 +188,9 @@ def product_groups(listings: DataFrame, threshold: float = 0.5) -> DataFrame:
     named = seen.select("listing_id", "number", "coded", "measures").join(words, "listing_id", "left")
     tokens = F.concat(F.coalesce(F.transform("words", lambda w: F.concat(F.lit("w:"), w)), F.array().cast("array<string>")), F.when(F.col("number").isNotNull(), F.array(F.concat(F.lit("n:"), "number"))).otherwise(F.array().cast("array<string>")))
     named = cut(named.withColumn("set", tokens).withColumn("node", F.xxhash64("set")))
-    nodes = named.where(F.size("set") > 0).groupBy("node").agg(F.first("set").alias("set"), F.count("*").alias("n"))
+    # Words of a line of models don't name a model by themselves.
+    names_one = F.exists("set", lambda t: ~t.isin(*(f"w:{x}" for x in LINES)))
+    nodes = named.where(names_one).groupBy("node").agg(F.first("set").alias("set"), F.count("*").alias("n"))
     counts = nodes.select(F.explode("set").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("df"))
     weight = F.pow(F.log(F.lit(1.0 + total) / F.col("df")), 3)
     weighted = nodes.select("node", "n", F.explode("set").alias("token")).join(counts, "token").groupBy("node", "n").agg(F.collect_list(F.struct("token", weight.alias("weight"), "df")).alias("tokens"))
