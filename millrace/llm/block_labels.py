@@ -189,6 +189,12 @@ LABELLED = """
 + Our adults team compared the Malvenna with the Torvido during daily transfers.
 + Each rollator leaves the workshop with its footplate fully assembled.
 + Fits adults up to 250 lb.
++ Fits caregivers up to 300 lb.
++ The patient lift should be inspected after two weeks of regular use.
++ If the armrest shows leaks, stop using the suction pump.
++ Non-slip basket
++ Removable basket
++ Basket on wheels
 + The user’s weight must rest evenly on the mattress cover.
 + The Torvido replaces the older Malvenna and keeps its crossbar.
 + A label under the basket shows the batch, for example Torvido7.
@@ -240,3 +246,29 @@ LABELLED = """
 + Casters: 5 in
 + Store below 30 °C and away from direct sunlight.
 """.strip("\n")
+
+
+# Further pages are made by a rule, as the wording of features and product names is the same
+# but for a few words: what a product's own name, its features and other products' names look like.
+QUALITIES = "padded adjustable washable foldable removable reinforced textured ventilated contoured swivelling lightweight quick-release height-adjustable self-locking tool-free non-slip low-profile impact-resistant".split()
+PARTS = ["armrest", "backrest", "basket", "footplate", "crossbar", "side rail", "seat cushion", "brake lever", "hand grip", "front caster", "rear wheel", "battery pack", "charging port", "control panel", "drain valve", "filter housing", "mattress cover", "push handle", "splash guard", "lifting sling", "carry strap", "commode bucket", "transfer board", "tubing connector", "anti-tip bar"]
+ENDS = ["", "", "", " for most users", " in tight spaces", " even with one hand", " without extra tools", " on uneven ground", " when the brakes are engaged", " – indoors or outdoors", " and folds flat afterwards"]
+KINDS = ["Bath Bench", "Rollator", "Knee Walker", "Commode Chair", "Patient Lift", "Air Mattress", "Exam Gloves", "Lab Cooler", "Suction Pump", "Nebulizer", "Safety Rail for Bed", "4-Wheel Walker"]
+MAKERS = ["Orvane", "Talmere", "Ostrand", "Calloway", "Brightmoor", "Hespera"]
+
+
+def ruled_pages(n: int = 12) -> list[tuple[str, list[tuple[bool, str]]]]:
+    """(own product, (is furniture, line) rows) of n pages put together by the rule."""
+    pages = []
+    for i in range(n):
+        pick = lambda xs, k: xs[(i * 7 + k * 5 + k * k) % len(xs)]  # noqa: B023, E731
+        name = f"{pick(MAKERS, 0)} {pick(QUALITIES, 1).title()} {pick(KINDS, 2)}"
+        rows = [(True, f"{pick(['Shop', 'Home', 'Mobility'], i)} > {pick(['Brands', 'Rentals', 'Blog'], i)} > {pick(KINDS, 2)}"), (False, name)]
+        rows += [(False, f"{pick(QUALITIES, k).capitalize()} {pick(PARTS, k + i)}{pick(ENDS, k)}") for k in range(9)]
+        rows += [(False, f"A {pick(QUALITIES, k)} {pick(PARTS, k)} and a {pick(PARTS, k + 3)} support daily use{pick(ENDS, k)}.") for k in range(3)]
+        rows += [(False, f"{k + 1} × {pick(PARTS, k)}") for k in range(2)]
+        rows += [(True, pick(["Related items", "Customers also viewed", "More from this brand", "Produits similaires", "Recently viewed"], i))]
+        rows += [(True, f"{pick(MAKERS, k + 1)} {pick(QUALITIES, k + 2).title()} {pick(KINDS, k + 3)}{f' ${20 + 13 * k}.90' if k % 2 else ''}") for k in range(4)]
+        rows += [(True, f"Back to {pick(MAKERS, 2)} {pick(KINDS, 4)}"), (True, f"Customers also bought: {pick(MAKERS, 3)} {pick(KINDS, 5)}")]
+        pages.append((name.lower().replace(" ", "-"), rows))
+    return pages

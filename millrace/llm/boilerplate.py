@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.block_labels import LABELLED
+from millrace.llm.block_labels import LABELLED, ruled_pages
 
 _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _PIECES = re.compile(r"\s+[|›»>·•/–-]\s+|\s{2,}|\s*[|›»•]\s*")
@@ -65,30 +65,47 @@ class Lexicon:
         return (sum(odds) / math.sqrt(len(odds)), min(odds), max(odds), known) if odds else (0.0, 0.0, 0.0, known)
 
 
-def _own(line: str, own: str) -> bool:
-    return bool(own) and slug(line) == own
+class _Block:
+    """What a line is by itself: the first twelve FEATURES, its slug and those of its pieces, whether it heads a list of other products."""
 
+    __slots__ = ("values", "slug", "pieces", "heads")
 
-def block_features(lines: list[str], own: str = "", anchors: frozenset[str] = frozenset(), lexicon: Lexicon | None = None, labels: list[bool] | None = None) -> np.ndarray:
-    """A row of FEATURES for each non-blank line; ``labels`` are given in training only."""
-    basics = []
-    for i, line in enumerate(lines):
+    def __init__(self, line: str, lexicon: Lexicon, label: bool | None = None):
         words = _WORD.findall(line)
-        pieces = [p for p in _PIECES.split(line) if p.strip()]
-        in_menu = sum(len(_WORD.findall(p)) for p in pieces) if len(pieces) >= 3 or len(pieces) == 2 and "–" not in line and len(words) <= 8 else 0
-        in_menu = max(in_menu, sum(len(_WORD.findall(p)) for p in pieces if slug(p) in anchors))
-        score, worst, most, known = lexicon.score(line, labels[i] if labels else None)
+        n = len(words)
+        parts = [p for p in _PIECES.split(line) if p.strip()]
+        in_menu = n if len(parts) >= 3 or len(parts) == 2 and "–" not in line and n <= 8 else 0
         letters = [w for w in words if w[0].isalpha()]
         capitals = sum(w[0].isupper() for w in letters) / len(letters) if letters else 0.0
-        basics.append((len(words), score, worst, most, known, in_menu / len(words) if words else 0.0, len(pieces), line.rstrip().endswith((".", "!", ";")) and not line.rstrip().endswith("..."), bool(re.match(r"[^:]{2,30}:\s", line)), bool(_PRICE.search(line)), any(w[0].isdigit() for w in words), capitals, _own(line, own)))
-    out = np.zeros((len(lines), len(FEATURES)))
+        end = line.rstrip()
+        self.values = (n, *lexicon.score(line, label), in_menu / n if n else 0.0, len(parts), float(end.endswith((".", "!", ";")) and not end.endswith("...")), float(bool(_COLON.match(line))), float(bool(_PRICE.search(line))), float(any(w[0].isdigit() for w in words)), capitals)
+        self.slug = slug(line)
+        self.pieces = [] if in_menu == n else [(slug(p), len(_WORD.findall(p))) for p in parts]
+        self.heads = bool(_HEADING.search(line))
+
+    def at(self, own: str, anchors: frozenset[str]) -> tuple:
+        """The first thirteen FEATURES on a page with its own product and link targets."""
+        v = self.values
+        if anchors and self.pieces and (linked := sum(k for s, k in self.pieces if s in anchors)):
+            v = (*v[:5], linked / v[0] if v[0] else 0.0, *v[6:])
+        return (*v, float(bool(own) and self.slug == own))
+
+
+_COLON = re.compile(r"[^:]{2,30}:\s")
+_NONE = (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def block_features(blocks: list[_Block], own: str = "", anchors: frozenset[str] = frozenset()) -> list[tuple]:
+    """A row of FEATURES for each block of a page."""
+    basics = [b.at(own, anchors) for b in blocks]
+    out = []
     listed = 0.0  # under a heading of other products: 1 while only names have followed
     for i, b in enumerate(basics):
-        before = basics[i - 1] if i else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
-        after = basics[i + 1] if i + 1 < len(basics) else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        before = basics[i - 1] if i else _NONE
+        after = basics[i + 1] if i + 1 < len(basics) else _NONE
         name = 2 <= b[0] <= 9 and b[11] >= 0.6 and not b[7] and not b[8] and not b[12]
-        out[i] = (*map(float, b), float(name), before[1], after[1], before[0], after[0], before[5], after[5], listed)
-        if _HEADING.search(lines[i]):
+        out.append((*b, float(name), before[1], after[1], before[0], after[0], before[5], after[5], listed))
+        if blocks[i].heads:
             listed = 1.0
         elif not name:
             listed = 0.0
@@ -142,14 +159,14 @@ def labelled_pages() -> list[tuple[str, list[tuple[bool, str]]]]:
     for block in LABELLED.split("\n\n"):
         own, *rows = block.split("\n")
         pages.append((own[2:], [(r[0] == "-", r[2:]) for r in rows]))
-    return pages
+    return pages + ruled_pages()
 
 
 @lru_cache(maxsize=1)
 def trained() -> tuple[Lexicon, Tree]:
     """The lexicon and the tree of the labelled table.
 
-    Each page trains as it stands, with its furniture in capitals, and in two seeded
+    Each page trains as it stands, with its furniture in capitals, and in six seeded
     shuffles, as furniture may stand between any blocks. In one of three copies a block is
     scored without its own words, so that the tree also learns what to make of new wording.
     """
@@ -158,36 +175,62 @@ def trained() -> tuple[Lexicon, Tree]:
     shuffle = np.random.default_rng(7)
     xs, ys = [], []
     for own, rows in pages:
-        for copy in (rows, [(label, line.upper() if label else line) for label, line in rows], [rows[i] for i in shuffle.permutation(len(rows))], [rows[i] for i in shuffle.permutation(len(rows))]):
+        for copy in (rows, [(label, line.upper() if label else line) for label, line in rows], *([rows[i] for i in shuffle.permutation(len(rows))] for _ in range(6))):
             labels = [label for label, _ in copy]
             for without in (None, None, labels):
-                xs.append(block_features([line for _, line in copy], own, frozenset(), lexicon, without))
+                xs.append(np.array(block_features([_Block(line, lexicon, label if without else None) for label, line in copy], own)))
                 ys.append(np.array(labels, float))
     return lexicon, Tree(np.concatenate(xs), np.concatenate(ys))
 
 
+class Classifier:
+    """Tells furniture on many pages at a time; lines that come again are looked at once."""
+
+    def __init__(self, memory: int = 100_000):
+        self.lexicon, self.tree = trained()
+        self.memory = memory
+        self.known: dict[str, _Block] = {}
+
+    def block(self, line: str) -> _Block:
+        got = self.known.get(line)
+        if got is None:
+            if len(self.known) >= self.memory:
+                self.known.clear()
+            got = self.known[line] = _Block(" ".join(line.strip().split("\t")), self.lexicon)
+        return got
+
+    def furniture(self, pages: list[tuple]) -> list[list[int]]:
+        """For each (lines, url, link targets) the positions from 1 of its furniture; blank and null lines never are."""
+        rows: list[tuple] = []
+        places: list[list[int]] = []
+        for lines, url, anchors in pages:
+            at = [i for i, line in enumerate(lines) if line and not line.isspace()]
+            own = slug(m[1]) if url and (m := _OWN.search(url)) else ""
+            targets = frozenset(slug(a.rstrip("/").rsplit("/", 1)[-1]) for a in anchors if a) if anchors is not None and len(anchors) else frozenset()
+            rows += block_features([self.block(lines[i]) for i in at], own, targets)
+            places.append(at)
+        told = iter(self.tree.predict(np.array(rows, dtype=float).reshape(len(rows), len(FEATURES))) > 0.5)
+        return [[i + 1 for i in at if next(told)] for at in places]
+
+
+_OWN = re.compile(r"/([^/?#]+?)(?:-\d+)?(?:\.html?)?/?(?:[?#].*)?$")
+
+
 def furniture(lines: list[str | None], url: str | None = None, anchors=None) -> list[int]:
-    """Positions from 1 of the lines that are page furniture; blank and null lines never are."""
-    at = [i for i, line in enumerate(lines) if line and line.strip()]
-    if not at:
-        return []
-    lexicon, tree = trained()
-    own = ""
-    if url and (m := re.search(r"/([^/?#]+?)(?:-\d+)?(?:\.html?)?/?(?:[?#].*)?$", url)):
-        own = slug(m[1])
-    slugs = frozenset(slug(a.rstrip("/").rsplit("/", 1)[-1]) for a in (anchors if anchors is not None else ()) if a)
-    x = block_features([" ".join(lines[i].strip().split("\t")) for i in at], own, slugs, lexicon)
-    return [i + 1 for i, p in zip(at, tree.predict(x)) if p > 0.5]
+    """Positions from 1 of the lines of one page that are page furniture."""
+    return Classifier().furniture([(lines, url, anchors)])[0]
 
 
 def _lines_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    tell = Classifier()
     for texts, urls, anchors in batches:
-        yield pd.Series([furniture(t.split("\n"), u, a) for t, u, a in zip(texts, urls, anchors)])
+        yield pd.Series(tell.furniture([(t.split("\n"), u, a) for t, u, a in zip(texts, urls, anchors)]))
 
 
 def _elements_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    tell = Classifier()
     for lists, urls in batches:
-        yield pd.Series([furniture(list(e), u) for e, u in zip(lists, urls)])
+        yield pd.Series(tell.furniture([(list(e), u, None) for e, u in zip(lists, urls)]))
 
 
 def page_furniture(pages: DataFrame) -> DataFrame:
