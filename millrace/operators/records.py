@@ -58,7 +58,7 @@ def family_of_url(url: Column) -> Column:
 
 def repaired_name(name: Column, brand: Column, og_title: Column, url: Column) -> Column:
     """A name that is only the brand gives way to the page's title, then to the last part of its URL."""
-    last = F.regexp_replace(F.element_at(F.filter(F.split(F.regexp_replace(F.coalesce(url, F.lit("")), "[?#].*$", ""), "/"), lambda p: p != ""), -1), "[-_]+", " ")
+    last = F.regexp_replace(F.try_element_at(F.filter(F.split(F.regexp_replace(F.coalesce(url, F.lit("")), "[?#].*$", ""), "/"), lambda p: p != ""), F.lit(-1)), "[-_]+", " ")
     bare = F.lower(T.squeeze(name)) == F.lower(T.squeeze(brand))
     return F.when(bare, F.coalesce(T.non_blank(og_title), T.non_blank(last), name)).otherwise(name)
 
