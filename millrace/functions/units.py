@@ -294,9 +294,10 @@ def _measure(toks: list[_Tok], i: int) -> tuple[list[tuple[float, Unit | None]],
     return parts, i
 
 
-# A sentence that states the units of all figures of a record ("Dimensions in mm; weights in kg").
+# The part of a sentence that states the units of all figures of a record ("Dimensions in mm; weights in kg"), from
+# its first telling word on: a match that began at the sentence would be tried anew from each of its characters.
 DEFAULTS_PATTERN = (
-    r"(?i)([^.!?\n\d]*\b(?:dimensions?|sizes?|lengths?|measurements?|weights?|mass(?:es)?)\b[^.!?\n\d]*"
+    r"(?i)(\b(?:dimensions?|sizes?|lengths?|measurements?|weights?|mass(?:es)?)\b[^.!?\n\d]*"
     r"\b(?:mm|cm|inch(?:es)?|feet|millimet(?:er|re)s?|centimet(?:er|re)s?|met(?:er|re)s?|lbs?|pounds?|ounces?|kg|kilograms?|grams?)\b[^.!?\n\d]*)"
 )
 

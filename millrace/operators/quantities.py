@@ -47,7 +47,8 @@ def common_units(entries: DataFrame, keep: list[str], key: str = "key", value: s
 def spec_entries(records: DataFrame) -> DataFrame:
     """(src, row_id, defaults, key, value) of product_records.specs; defaults is the sentence of the description that states units."""
     stated = F.nullif(F.regexp_extract("description_raw", DEFAULTS_PATTERN, 1), F.lit(""))
-    return records.where(F.col("record_id").isNotNull()).select(F.lit("specs").alias("src"), F.col("record_id").alias("row_id"), stated.alias("defaults"), F.explode("specs"))
+    once = records.where(F.col("record_id").isNotNull() & F.col("specs").isNotNull()).select(F.lit("specs").alias("src"), F.col("record_id").alias("row_id"), stated.alias("defaults"), "specs")
+    return once.select("src", "row_id", "defaults", F.explode("specs"))
 
 
 def option_entries(variants: DataFrame) -> DataFrame:
