@@ -31,10 +31,18 @@ LEAST_WORD_SHARE = 0.003
 LEAST_LINE_SHARE = 0.0005
 _DIGIT = "[0-9OolIiSs]"
 _PAGE = re.compile(rf"^(?:p\. ?{_DIGIT}{{1,4}}|[Pp]age {_DIGIT}{{1,4}}(?: of {_DIGIT}{{1,4}})?|[-–] ?{_DIGIT}{{1,4}} ?[-–]|\[{_DIGIT}{{1,4}}\]|{_DIGIT}{{1,3}}[-/]{_DIGIT}{{1,3}}|[0-9lIO]{{1,4}}|[ivxlc]{{1,8}}|{_DIGIT}{{1,4}} ?[|·•] ?\S+|[A-Z][^\W\d_]+ {_DIGIT}{{1,4}})$")
-_BREAK = re.compile(r"([^\W_][^\s]*?|[^\W_])([-¬‐­])\s*$")
+_MARKS = "-¬‐\xad"
 _EDGE = ".,;:!?“”\"'‘’()[]{}…"
 
 
+def broken_by(line: str) -> str | None:
+    """The mark that breaks a word at the end of a line, if one does."""
+    text = line.rstrip()
+    if len(text) > 1 and text[-1] in _MARKS and any(c.isalnum() for c in text.rsplit(None, 1)[-1][:-1]):
+        return text[-1]
+    return None
+
+
 def shape(line: str) -> str:
     """The form of a line, one of a few words."""
     text = line.strip("\f\r ")
@@ -47,7 +55,7 @@ def shape(line: str) -> str:
     if text.startswith(("- ", "• ", "* ")) and not text.endswith("-"):
         return "item"
     words = text.split()
-    if len(words) <= 8 and not text.endswith((".", ",", ";")) and (text[0].isupper() or not text[0].isalnum() or text[0].isdigit()) and not _BREAK.search(text):
+    if len(words) <= 8 and not text.endswith((".", ",", ";")) and (text[0].isupper() or not text[0].isalnum() or text[0].isdigit()) and not broken_by(text):
         if re.match(r"(?:Rev\.|©|[A-Z]+ +–)", text):
             return "stamp"
         if len(words) == 1 and text.isupper():
@@ -66,14 +74,14 @@ def line_key(text: str) -> str:
     return re.sub(r"9+", "9", re.sub(r"[0-9]", "9", text.translate(str.maketrans("0o1li5s6bh|", "00111550011"))).replace("g", "9"))
 
 
-def _features(lines: list[str], shares: dict[str, float]) -> list[tuple[str, str, str, str]]:
-    """(form, repeats, edge, where else) of each line."""
+def _features(lines: list[str], shares: dict[str, float], near_equal: bool = True) -> list[tuple[str, str, str, str]]:
+    """(form, repeats, edge, where else) of each line; with near_equal, lines that differ by a slip or two repeat each other."""
     forms = [shape(x) for x in lines]
     keys = [line_key(x) if f not in ("blank", "page", "text", "sentence") else "" for x, f in zip(lines, forms)]
     # equal lines but for a slip or two count together
     alike: dict[str, str] = {}
-    for k in sorted({k for k in keys if k}, key=lambda k: (-keys.count(k), k)):
-        alike[k] = next((h for h in set(alike.values()) if len(k) >= 10 and distance(k, h, 2) <= 2), k)
+    for k, _ in sorted(Counter(k for k in keys if k).items(), key=lambda x: (-x[1], x[0])) if near_equal else ():
+        alike[k] = next((h for h in set(alike.values()) if len(k) >= 10 and abs(len(k) - len(h)) < 3 and distance(k, h, 2) <= 2), k)
     keys = [alike.get(k, k) for k in keys]
     repeats = Counter(k for k in keys if k)
     filled = [i for i, f in enumerate(forms) if f != "blank"]
@@ -125,22 +133,29 @@ def model() -> tuple[dict, dict, dict]:
 _POSSIBLE = {"blank": "K", "page": "PB", "item": "T", "stamp": "H", "numbered": "T", "shout": "T", "title": "HTB", "short": "HTB", "sentence": "BT", "text": "B"}
 
 
+@lru_cache(maxsize=10_000)
+def _emitted(features: tuple[str, str, str, str]) -> dict[str, float]:
+    """Log-odds of a line's features in each state that its form can have."""
+    emit = model()[2]
+    return {s: sum(emit[s, k, v] for k, v in enumerate(features)) for s in _POSSIBLE[features[0]]}
+
+
 def label_lines(lines: list[str], shares: dict[str, float]) -> str:
     """The most likely state of each line."""
     if not lines:
         return ""
-    begin, move, emit = model()
+    begin, move, _ = model()
     score: dict[str, float] = {}
     back: list[dict[str, str]] = []
     for n, f in enumerate(_features(lines, shares)):
-        now = {s: sum(emit[s, k, v] for k, v in enumerate(f)) + (0.0 if s in _POSSIBLE[f[0]] else -50.0) for s in STATES}
+        now = _emitted(f)
         if n == 0:
-            score = {s: begin[s] + now[s] for s in STATES}
+            score = {s: begin[s] + e for s, e in now.items()}
             continue
-        best = {s: max(STATES, key=lambda a: score[a] + move[a, s]) for s in STATES}
+        best = {s: max(score, key=lambda a: score[a] + move[a, s]) for s in now} if len(score) > 1 else dict.fromkeys(now, next(iter(score)))  # noqa: B023
         back.append(best)
-        score = {s: score[best[s]] + move[best[s], s] + now[s] for s in STATES}
-    state = max(STATES, key=score.get)
+        score = {s: score[best[s]] + move[best[s], s] + e for s, e in now.items()}
+    state = max(score, key=score.get)
     out = [state]
     for best in reversed(back):
         state = best[state]
@@ -179,9 +194,9 @@ class Reader:
             return None
         if any(c.isdigit() for c in raw):
             digits = raw.translate(_DIGITS)
-            if digits != raw and re.fullmatch(r"[0-9]+(?:[.,/][0-9]+)*", digits) and re.fullmatch(r"[0-9OolISB|.,/]+", raw):
+            if digits != raw and re.fullmatch(r"[0-9]+(?:[.,/][0-9]+)*", digits) and re.fullmatch(r"[0-9OolISBZ|.,/]+", raw):
                 return digits.lower()
-            if m := re.fullmatch(r"([^\W\d_]{4,})(-)([0-9OolISB]{1,3})", raw):  # a code: name, hyphen, number
+            if m := re.fullmatch(r"([^\W\d_]{4,})(-)([0-9OolISBZ]{1,3})", raw):  # a code: name, hyphen, number
                 digits = m[3].translate(_DIGITS)
                 return f"{m[1]}-{digits}".lower() if digits != m[3] and any(c.isdigit() for c in m[3]) else None
         if word == "l" or word == "|":
@@ -259,12 +274,12 @@ def flaws(text: str, words: dict[str, float], shares: dict[str, float], reader:
             tokens = tokens[1:]
         elif label == "T":
             close()
-        m = _BREAK.search(" ".join(tokens)) if tokens else None
-        broken = bool(m) and n < len(lines) and _continues(lines, labels, n)
+        mark = broken_by(tokens[-1]) if tokens else None
+        broken = mark is not None and n < len(lines) and _continues(lines, labels, n)
         for k, token in enumerate(tokens):
             core = token.strip(_EDGE)
             if broken and k == len(tokens) - 1:
-                carried = (n, token[: token.rstrip().rfind(m[2])].lstrip(_EDGE))
+                carried = (n, token[: token.rfind(mark)].lstrip(_EDGE))
                 open_text.append(token)
                 continue
             meant = reader.meant(core) if core else None
@@ -318,8 +333,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not isinstance(text, str):
                 continue
             lines = text.split("\n")
-            seen = {("w", w.lower()) for line in lines for t in (line.split()[:-1] if _BREAK.search(line) else line.split()) if (w := t.strip(_EDGE))}
-            for line, f in zip(lines, _features(lines, {})):
+            seen = {("w", w.lower()) for line in lines for t in (line.split()[:-1] if broken_by(line) else line.split()) if (w := t.strip(_EDGE))}
+            for line, f in zip(lines, _features(lines, {}, near_equal=False)):
                 if f[1] != "none":
                     key = ("l", line_key(line))
                     seen.add(key)
