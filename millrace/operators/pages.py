@@ -13,7 +13,7 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 CHROME = frozenset({"nav", "header", "footer", "aside"})
 
-_NODES = "array<struct<ord:int,parent:int,last:int,depth:int,tag:string,id:string,classes:array<string>,attrs:map<string,string>,own_text:string,in_chrome:boolean>>"
+_NODES = "array<struct<ord:int,parent:int,last:int,depth:int,tag:string,element_id:string,classes:array<string>,attrs:map<string,string>,own_text:string,in_chrome:boolean>>"
 
 
 class _Builder(HTMLParser):
@@ -41,7 +41,7 @@ class _Builder(HTMLParser):
                     break
         parent = self.open[-1] if self.open else None
         known = {k: v or "" for k, v in attrs}
-        self.nodes.append({"ord": len(self.nodes), "parent": parent, "last": len(self.nodes), "depth": len(self.open), "tag": tag, "id": known.get("id"), "classes": known.get("class", "").split(), "attrs": known, "own_text": "", "in_chrome": tag in CHROME or (parent is not None and self.nodes[parent]["in_chrome"])})
+        self.nodes.append({"ord": len(self.nodes), "parent": parent, "last": len(self.nodes), "depth": len(self.open), "tag": tag, "element_id": known.get("id"), "classes": known.get("class", "").split(), "attrs": known, "own_text": "", "in_chrome": tag in CHROME or (parent is not None and self.nodes[parent]["in_chrome"])})
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
@@ -76,7 +76,7 @@ def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def page_nodes(pages: DataFrame, key: str, html: str, most_bytes: int = 3_000_000) -> DataFrame:
-    """(key, ord, parent, last, depth, tag, id, classes, attrs, own_text, in_chrome) of every element of every page.
+    """(key, ord, parent, last, depth, tag, element_id, classes, attrs, own_text, in_chrome) of every element of every page.
 
     The text of a subtree is the own_text of the rows ord..last in order. Null and empty pages
     have no elements. Pages beyond most_bytes are the feature's own limit; they have none.
