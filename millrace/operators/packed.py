@@ -52,7 +52,7 @@ def split_packed(entries: DataFrame, keep: list[str], value: str, broadcast_byte
     tokens = (
         entries.where(F.col(value).isNotNull() & F.col(value).rlike(rf"[{DELIMITERS}/+&<–-]|\d[.)] | (?i:and|und|et) "))
         .select(*keep, F.regexp_extract_all(value, F.lit(TOKEN), F.lit(0)).alias("_tokens"))
-        .withColumn("_skeleton", F.array_join(F.transform("_tokens", _class), ""))
+        .withColumn("_skeleton", F.coalesce(F.array_join(F.transform("_tokens", _class), ""), F.lit("")))  # never null, or the join would test that by computing it twice
     )
     rules = tokens.select("_skeleton").distinct().withColumn("_rule", F.pandas_udf(_rules, "array<struct<first:int,size:int,escape:string>>")("_skeleton")).where(F.size("_rule") >= 2)
     rules = cut(rules)
