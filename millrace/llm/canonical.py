@@ -59,17 +59,27 @@ def distance(a: str, b: str, most: int) -> int:
     last: dict[str, int] = {}
     rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
-        row, seen = [far, i] + [0] * len(b), 0
+        row, seen = [far, i], 0
         above = rows[i]
-        for j, y in enumerate(b, 1):
-            k, m = last.get(y, 0), seen
+        left, corner, j = i, above[1], 0
+        for y in b:
+            j += 1
+            over = above[j + 1]
             if x == y:
-                value, seen = above[j], j
+                value = corner
             else:
-                value = min(above[j], row[j], above[j + 1]) + 1
-            if k and m:
-                value = min(value, rows[k][m] + i - k - 1 + 1 + j - m - 1)
-            row[j + 1] = value
+                value = corner if corner < over else over
+                if left < value:
+                    value = left
+                value += 1
+            if seen and (k := last.get(y)):  # y stood in a before, and x in b: the two may have changed places
+                swapped = rows[k][seen] + i - k + j - seen - 1
+                if swapped < value:
+                    value = swapped
+            if x == y:
+                seen = j
+            row.append(value)
+            left, corner = value, over
         rows.append(row)
         last[x] = i
         if min(row[1:]) > most and min(rows[i][1:]) > most:
