@@ -68,3 +68,14 @@ def added_variants(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Variants held, and those of new whose sku and options none of them has."""
     mark = F.lower(F.concat(F.coalesce("sku", F.lit("")), F.lit("|"), option_key(F.col("option_values"))))
     return held.unionByName(new.withColumn("_m", mark).join(held.select(key, mark.alias("_m")), [key, "_m"], "left_anti").drop("_m"))
+
+
+def priced(combos: DataFrame, offers: DataFrame, key: str, base_price: str) -> DataFrame:
+    """combos (key, option_values, ...) + price: an offer's where one has just these options (color, then size), else the product's own."""
+    label = lambda name, c: F.when(_filled(c), F.concat(F.lit(f"{name}:"), plain_value(c)))
+    keyed = offers.select(key, F.concat_ws("|", label("Color", F.col("color")), label("Size", F.col("size"))).alias("_k"), "price").where("_k <> ''").groupBy(key, "_k").agg(F.max("price").alias("_p"))
+    return combos.withColumn("_k", option_key(F.col("option_values"))).join(keyed, [key, "_k"], "left").withColumn("price", F.coalesce("_p", base_price)).drop("_k", "_p")
+
+
+def _filled(c: Column) -> Column:
+    return F.coalesce(plain_value(c), F.lit("")) != ""
