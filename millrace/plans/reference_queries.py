@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from millrace.functions import lines as L, markdown, specs as S, text as T
-from millrace.operators import audit, media, pages, quality, records as R, resolve, variants
+from millrace.operators import audit, media, pages, projection, quality, records as R, resolve, variants
 from millrace.plans import ingest
 from millrace.sources.tables import table
 from millrace.streaming import queue
@@ -539,3 +539,45 @@ def signed_events(spark: SparkSession, folder: str) -> DataFrame:
     """Signatures of event payloads, and whether they hold."""
     rows = table(spark, folder, "events").select("event_id", "event_type", R.signed(F.col("event_type"), "secret").alias("s"))
     return rows.select("event_id", F.col("s").isNotNull().alias("signed"), R.signature_holds(F.col("event_type"), F.col("s"), "secret").alias("holds"))
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Product pages made of the parts: (p_partkey, url, html)."""
+    n, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    html = F.concat(
+        F.lit("<title>Shop</title><nav><a href=/home>Home</a></nav><main><h1>"), "p_name", F.lit("</h1><p>Made by <b>"), "p_brand", F.lit("</b> for daily use.</p><table><tr><th>Seat Width<td>"), size,
+        F.lit(" inches</tr></table><dl><dt>Max weight<dd>"), size, F.lit("0 pounds</dl><ul><li>Color: "), "p_type", F.lit("</ul><img src=/i/"), n, F.lit(".jpg?w=100><img src=/i/"), n,
+        F.lit(".jpg?w=900><a href=#t1>Features</a><div id=t1><p>Folds "), size, F.lit(" ways</p></div></main><div class=related><img src=/i/other.jpg></div><script type=application/ld+json>"),
+        F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.concat(F.lit("sku-"), n).alias("sku"), F.struct(F.col("p_retailprice").alias("price")).alias("offers"))), F.lit("</script>"),
+    )
+    return table(spark, folder, "part").select("p_partkey", F.concat(F.lit("https://a.example/p/"), n).alias("url"), html.alias("html"))
+
+
+def _nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.page_nodes(_pages(spark, folder), "p_partkey", "html")
+
+
+@query("SELECT p_partkey, 'Shop' AS title, p_name AS heading, 'Made by for daily use. ' || p_brand AS paragraph FROM part")
+def page_facts(spark: SparkSession, folder: str) -> DataFrame:
+    return projection.page_facts(_nodes(spark, folder), "p_partkey").select("p_partkey", "title", "heading", "paragraph")
+
+
+@query("SELECT p_partkey, p_size || ' inches' AS seat_width, p_size || '0 lb' AS weight_capacity, p_type AS color FROM part")
+def page_specs(spark: SparkSession, folder: str) -> DataFrame:
+    specs = projection.spec_map(projection.spec_pairs(_nodes(spark, folder), "p_partkey"), "p_partkey")
+    return specs.select("p_partkey", *(F.try_element_at("specs", F.lit(k)).alias(k) for k in ("seat_width", "weight_capacity", "color")))
+
+
+@query("SELECT p_partkey, p_name AS name, 'sku-' || p_partkey AS sku, p_retailprice AS price FROM part")
+def page_products(spark: SparkSession, folder: str) -> DataFrame:
+    return projection.json_ld_product(_nodes(spark, folder), "p_partkey").select("p_partkey", "name", "sku", "price")
+
+
+@query("SELECT p_partkey, 'Features' AS title, 'Folds ' || p_size || ' ways' AS text FROM part")
+def page_tabs(spark: SparkSession, folder: str) -> DataFrame:
+    return projection.tabs(_nodes(spark, folder), "p_partkey").select("p_partkey", "title", "text")
+
+
+@query("SELECT p_partkey, 1::BIGINT AS rank, 'https://a.example/i/' || p_partkey || '.jpg?w=900' AS url FROM part")
+def page_images(spark: SparkSession, folder: str) -> DataFrame:
+    return projection.images(_nodes(spark, folder), "p_partkey", _pages(spark, folder))
