@@ -7,5 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.session import reachable
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return reachable(spark).read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, least_bytes: int = 512 << 10) -> DataFrame:
+    """The rows of a table, on at least as many partitions as there are cores.
+
+    One row group is one task, so a table of few files would be worked on by few cores. Only
+    such a table, and only if it has least_bytes, is dealt out again; a table of many splits is
+    read as it lies.
+    """
+    rows = reachable(spark).read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= least_bytes and rows._jdf.rdd().getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
