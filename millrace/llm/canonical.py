@@ -321,7 +321,8 @@ def map_to_list(values: DataFrame, reference: DataFrame, spec_field: str, text:
         for r in numbered.where(F.col("_shard") == s).orderBy("canon_id").toLocalIterator():
             shard.setdefault(r["spec_field"], []).append((r["canon_id"], r["canonical"]))
         shorts = {f: short_forms(entries) for f, entries in shard.items()}
-        search = F.pandas_udf(_searcher(shard, shorts), "struct<canonical:boolean,distance:bigint,entry:bigint>")
+        # Said to be nondeterministic, so that it isn't run once for a filter and once for the result.
+        search = F.pandas_udf(_searcher(shard, shorts), "struct<canonical:boolean,distance:bigint,entry:bigint>").asNondeterministic()
         name = f"_hit{s}"
         out = out.withColumn(name, search(F.col(spec_field), F.coalesce(F.col(text), F.lit(""))))
         hits.append(name)
