@@ -23,6 +23,9 @@ SECTION_LABELS = [
     "products", "bath safety", "beds", "commodes", "inspired", "mobility", "patient room", "personal care", "respiratory", "sleep therapy", "therapeutic support surfaces", "new arrivals",
     "support & resources", "who we are", "who we serve", "account", "get in touch", "press releases", "articles & blogs", "leadership", "work with us", "faqs", "knowledge base",
 ]
+KEPT_LINES = r"use\s*&\s*operation|use\s+and\s+operation|close\s+product\s+options"
+SPEC_LIKE_STARTS = "^(?:bed height|sleep surface|weight capacity|max patient weight|assembled bed|assembled bed weight|limited warranty)"
+JOINING_WORDS = "and|as|to|for|with|in|on"
 INSTRUCTION_WORDS = r"do\s+not|warning|caution|manual|future\s+reference|pendant|control|allow\s+a\s+slight"
 
 
@@ -102,8 +105,7 @@ def navigation_line(x: Column) -> Column:
 
     def test(low: Column) -> Column:
         hits = sum((F.contains(low, F.lit(p)).cast("int") for p in NAVIGATION_PHRASES), F.lit(0))
-        kept = low.rlike(r"use\s*&\s*operation|use\s+and\s+operation|close\s+product\s+options")
-        return ~kept & ((hits >= 2) | low.isin(*NAVIGATION_PHRASES))
+        return ~low.rlike(KEPT_LINES) & ((hits >= 2) | low.isin(*NAVIGATION_PHRASES))
 
     low = F.lower(strip(x))
     return _has(low, NAVIGATION_PHRASES) & bound(low, test)  # one pass tells most lines
@@ -130,7 +132,7 @@ def joined_fragments(lines: Column) -> Column:
     """
     filled = F.filter(F.transform(lines, strip), lambda x: x != "")
     last = lambda acc: F.element_at(acc, -1)
-    goes_on = lambda acc, x: x.rlike("^(?:and|as|to|for|with|in|on)(?![A-Za-z0-9_])") | (x.rlike("^[a-z]") & ~last(acc).rlike("[.!?]$"))
+    goes_on = lambda acc, x: x.rlike(f"^(?:{JOINING_WORDS})(?![A-Za-z0-9_])") | (x.rlike("^[a-z]") & ~last(acc).rlike("[.!?]$"))
     return F.aggregate(
         filled,
         F.array().cast("array<string>"),
@@ -143,8 +145,7 @@ def clean_features(lines: Column) -> Column:
     usable = F.filter(lines, lambda x: x.isNotNull() & (strip(x) != "") & ~F.lower(strip(x)).rlike(INSTRUCTION_WORDS) & (F.length(x) <= 150) & ~F.contains(x, F.lit("\n")))
     once = bound(usable, lambda xs: bound(F.transform(xs, lambda x: F.lower(strip(x))), lambda low: F.filter(xs, lambda x, i: F.array_position(low, F.lower(strip(x))) == i + 1)))
     joined = joined_fragments(once)
-    spec_like = "^(?:bed height|sleep surface|weight capacity|max patient weight|assembled bed|assembled bed weight|limited warranty)"
-    return F.filter(joined, lambda x: ~F.lower(strip(x)).rlike(spec_like) & ~F.contains(x, F.lit(":")))
+    return F.filter(joined, lambda x: ~F.lower(strip(x)).rlike(SPEC_LIKE_STARTS) & ~F.contains(x, F.lit(":")))
 
 
 def compiled_features(lines: Column) -> Column:
@@ -167,9 +168,9 @@ def section(lines: Column, start: str, stop: str) -> Column:
     """Lines after the first one equal to start, up to the first later one equal to stop; bullets taken off."""
     low = F.transform(lines, lambda x: F.lower(strip(x)))
     begin = F.array_position(low, F.lit(start).cast("string"))
-    after = F.slice(lines, F.cast(begin, "int") + 1, F.size(lines))
+    after = F.slice(lines, begin.cast("int") + 1, F.size(lines))
     low_after = F.transform(after, lambda x: F.lower(strip(x)))
     end = F.array_position(low_after, F.lit(stop).cast("string"))
-    body = F.when(end > 0, F.slice(after, 1, F.cast(end, "int") - 1)).otherwise(after)
+    body = F.when(end > 0, F.slice(after, 1, end.cast("int") - 1)).otherwise(after)
     bare = F.transform(body, lambda x: strip(F.regexp_replace(strip(x), "^[-•\\s]+", "")))
     return F.when(begin > 0, F.filter(bare, lambda x: (x != "") & (F.lower(x) != start))).otherwise(F.array().cast("array<string>"))
