@@ -348,9 +348,8 @@ def corpus_facts(texts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """(word to its share of the texts, short line to the share of its occurrences at a page's edge), entries with the least shares."""
     n = texts.where("text is not null").count()
     counted = texts.select("text").mapInPandas(_counts, "kind string, value string, docs bigint, total bigint, edges bigint").groupBy("kind", "value").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"), F.sum("edges").alias("edges"))
-    words = counted.where((F.col("kind") == "w") & (F.col("docs") >= 3) & (F.col("docs") >= F.lit(LEAST_WORD_SHARE * n)))
-    lines = counted.where((F.col("kind") == "l") & (F.col("docs") >= 3) & (F.col("docs") >= F.lit(LEAST_LINE_SHARE * n)))
-    kept = words.union(lines).collect()
+    least = F.when(F.col("kind") == "w", LEAST_WORD_SHARE * n).otherwise(LEAST_LINE_SHARE * n)
+    kept = counted.where((F.col("docs") >= 3) & (F.col("docs") >= least)).collect()
     return {r["value"]: r["docs"] / max(1, n) for r in kept if r["kind"] == "w"}, {r["value"]: r["edges"] / max(1, r["total"]) for r in kept if r["kind"] == "l"}
 
 
@@ -365,11 +364,8 @@ def clean_lexicon(words: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def repaired(pdfs: DataFrame, key: str = "pdf_id", text: str = "raw_text") -> DataFrame:
-    """(key, flaws, paragraphs): the flaws of each text and its repaired paragraphs, in order.
-
-    Null and blank texts have neither. A text that repeats under its key comes out once.
-    """
+def _read(pdfs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, r): struct r of the flaws and paragraphs of each row's text."""
     rows = pdfs.select(F.col(key), F.col(text).alias("text"))
     words, shares = corpus_facts(rows)
     words = clean_lexicon(words)
@@ -380,10 +376,19 @@ def repaired(pdfs: DataFrame, key: str = "pdf_id", text: str = "raw_text") -> Da
             got = [flaws(t, words, shares, reader) if isinstance(t, str) else ([], []) for t in texts]
             yield pd.DataFrame({"flaws": [[{"line_no": a, "kind": b, "fixed": c} for a, b, c in f] for f, _ in got], "paragraphs": [p for _, p in got]})
 
-    result = F.pandas_udf(run, "struct<flaws:array<struct<line_no:bigint,kind:string,fixed:string>>,paragraphs:array<string>>")
-    return rows.where(F.col(key).isNotNull()).select(key, result("text").alias("r")).select(key, "r.flaws", "r.paragraphs").distinct()
+    # Said to be nondeterministic, so that no part of the struct makes it run again.
+    result = F.pandas_udf(run, "struct<flaws:array<struct<line_no:bigint,kind:string,fixed:string>>,paragraphs:array<string>>").asNondeterministic()
+    return rows.where(F.col(key).isNotNull()).select(key, result("text").alias("r"))
+
+
+def repaired(pdfs: DataFrame, key: str = "pdf_id", text: str = "raw_text") -> DataFrame:
+    """(key, flaws, paragraphs): the flaws of each text and its repaired paragraphs, in order.
+
+    Null and blank texts have neither. A text that repeats under its key comes out once.
+    """
+    return _read(pdfs, key, text).select(key, "r.flaws", "r.paragraphs").distinct()
 
 
 def found_flaws(pdfs: DataFrame) -> DataFrame:
     """(pdf_id, line_no, kind, fixed) of every flaw."""
-    return repaired(pdfs).select("pdf_id", F.inline("flaws")).distinct()
+    return _read(pdfs, "pdf_id", "raw_text").select("pdf_id", F.inline("r.flaws")).distinct()
