@@ -320,7 +320,9 @@ def restored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     out once. Plan: a narrow map; a test on the JVM keeps ASCII texts from Python.
     """
     rows = documents.select(F.col(key), F.col(text).alias("_text")).where(F.col("_text").rlike(r"[^\x00-\x7f]|&[#a-zA-Z][0-9a-zA-Z]+;|\\u[0-9a-fA-F]{4}"))
-    found = rows.select(key, F.pandas_udf(_restore, "struct<found:boolean,text:string>")("_text").alias("_r")).where("_r.found")
+    # Said to be nondeterministic, so that the search isn't run once for the filter and once for the text.
+    search_once = F.pandas_udf(_restore, "struct<found:boolean,text:string>").asNondeterministic()
+    found = rows.select(key, search_once("_text").alias("_r")).where("_r.found")
     return found.select(key, F.col("_r.text").alias("restored"))
 
 
