@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -45,10 +44,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
 def _shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset (tests, one machine) a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix=f"millrace-{os.getpid()}-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or tempfile.mkdtemp(prefix=f"millrace-{os.getpid()}-")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,8 +53,3 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(_shared_folder(spark))
     return df.checkpoint(eager=True)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df held in memory and on disk; what is lost with an executor is computed anew."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
