@@ -294,11 +294,20 @@ def _measure(toks: list[_Tok], i: int) -> tuple[list[tuple[float, Unit | None]],
     return parts, i
 
 
-# The part of a sentence that states the units of all figures of a record ("Dimensions in mm; weights in kg"), from
-# its first telling word on: a match that began at the sentence would be tried anew from each of its characters.
+_LENGTHS = r"(?:mms?|cms?|inch(?:es)?|feet|ft|yards?|millimet(?:er|re)s?|centimet(?:er|re)s?|met(?:er|re)s?)"
+_MASSES = r"(?:lbs?|pounds?|ounces?|oz|kgs?|kilos?|kilograms?|grams?)"
+# Where a description is cut: a statement of units holds no figures.
+SENTENCE_END = r"[.!?\n\d]+"
+# The part of a sentence that states the units of all figures of a record ("Dimensions in mm; weights in kg", "Figures
+# below are inches / pounds"), from its first telling word on. A word that isn't of a quantity (figures, units) tells only
+# with the unit linked to it, a length and a mass unit side by side tell alone. The lead is matched once, not tried anew
+# from each of its characters.
 DEFAULTS_PATTERN = (
-    r"(?i)(\b(?:dimensions?|sizes?|lengths?|measurements?|weights?|mass(?:es)?)\b[^.!?\n\d]*"
-    r"\b(?:mm|cm|inch(?:es)?|feet|millimet(?:er|re)s?|centimet(?:er|re)s?|met(?:er|re)s?|lbs?|pounds?|ounces?|kg|kilograms?|grams?)\b[^.!?\n\d]*)"
+    r"(?is)^(?>.*?(?=\b(?:"
+    r"(?:dimensions?|sizes?|lengths?|measurements?|weights?|mass(?:es)?)\b"
+    rf"|(?:figures?|values|numbers|units?|quantities|specs|specifications|all|everything|stated|given|listed|shown|expressed|quoted)\b.{{0,40}}?(?:\b(?:in|are|is|as)\b|[:=–-])\s*(?:(?:the|us|metric|imperial)\b:?\s*)?(?:{_LENGTHS}|{_MASSES})\b"
+    rf"|(?:{_LENGTHS}\s*(?:[/,;&+]|and\b)\s*{_MASSES}|{_MASSES}\s*(?:[/,;&+]|and\b)\s*{_LENGTHS})\b"
+    rf")))(.*\b(?:{_LENGTHS}|{_MASSES})\b.*)"
 )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.functions.units import DEFAULTS_PATTERN, FIELDS, quantities, split_key
+from millrace.functions.units import DEFAULTS_PATTERN, FIELDS, SENTENCE_END, quantities, split_key
 
 _RESULT = "array<struct<spec_field:string,idx:bigint,base_value:bigint>>"
 # A cheap test on the JVM side: only entries of a quantity field whose text can hold a number go to Python.
@@ -45,8 +45,9 @@ def common_units(entries: DataFrame, keep: list[str], key: str = "key", value: s
 
 
 def spec_entries(records: DataFrame) -> DataFrame:
-    """(src, row_id, defaults, key, value) of product_records.specs; defaults is the sentence of the description that states units."""
-    stated = F.nullif(F.regexp_extract("description_raw", DEFAULTS_PATTERN, 1), F.lit(""))
+    """(src, row_id, defaults, key, value) of product_records.specs; defaults holds the sentences of the description that state units, in order."""
+    sentences = F.transform(F.split("description_raw", SENTENCE_END), lambda s: F.regexp_extract(s, DEFAULTS_PATTERN, 1))
+    stated = F.nullif(F.array_join(F.filter(sentences, lambda s: s != ""), "; "), F.lit(""))
     once = records.where(F.col("record_id").isNotNull() & F.col("specs").isNotNull()).select(F.lit("specs").alias("src"), F.col("record_id").alias("row_id"), stated.alias("defaults"), "specs")
     return once.select("src", "row_id", "defaults", F.explode("specs"))
 

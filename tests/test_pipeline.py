@@ -60,6 +60,31 @@ def test_common_units_corner_cases(spark):
     assert product_quantities(spark.createDataFrame([], SPECS), variants.limit(0)).count() == 0
 
 
+STATEMENTS = {
+    "Unless noted, lengths are millimetres and weights kilograms.": (10, 1000),
+    "Dimensions in mm; weights in kg.": (10, 1000),
+    "All sizes in inches, weights in pounds.": (254, 454),
+    "All dimensions in cm, weights in kg.": (100, 1000),
+    "Measurements are metric: centimetres and kilograms.": (100, 1000),
+    "Dimensions are stated in inches and weights in lbs.": (254, 454),
+    "Figures below are inches / pounds.": (254, 454),
+    "Sizes given in centimetres; masses in kilograms.": (100, 1000),
+    "All in cm and kg": (100, 1000),
+    "Values: inches, pounds": (254, 454),
+    "Dimensions in cm. Made of steel. Weights in kg.": (100, 1000),
+    "Units are inches. Masses in kg": (254, 1000),
+    "Fits adults up to 300 lb. All rubber feet are grey.": None,
+    "All legs have feet, units ship flat.": None,
+}
+
+
+def test_stated_units(spark):
+    rows = [(i, f"Folds flat for 3 months. {text} Wipe it clean.", {"cable length": "10", "product_weight": "1"}, None, None) for i, text in enumerate(STATEMENTS)]
+    rows += [(99, "all sizes " * 20_000, {"cable length": "10"}, None, None)]
+    got = {(r.row_id, r.spec_field): r.base_value for r in product_quantities(spark.createDataFrame(rows, SPECS), spark.createDataFrame([], "variant_id long, option_values array<struct<option_name:string,value:string>>")).collect()}
+    assert got == {(i, f): v for i, want in enumerate(STATEMENTS.values()) if want for f, v in zip(("cable_length", "product_weight"), want)}
+
+
 CASES = {
     "a, b": ["a", "b"],
     "a; b;": ["a", "b"],
