@@ -57,11 +57,26 @@ def option_key(options: Column) -> Column:
     return F.array_join(F.transform(options, lambda o: F.concat(plain_value(o["option_name"]), F.lit(":"), plain_value(o["value"]))), "|")
 
 
-def expanded(products: DataFrame, key: str, groups: str, base_sku: str) -> DataFrame:
-    """(key, idx, sku, option_values) of every combination of a product's groups."""
-    rows = products.select(key, F.col(base_sku).alias("_base"), F.posexplode(combinations(F.filter(groups, lambda g: F.size(g["values"]) > 1))).alias("idx", "option_values"))
-    rows = rows.where(F.size("option_values") > 0)
-    return rows.select(key, F.col("idx").cast("bigint").alias("idx"), variant_sku(F.col("_base"), F.col("option_values"), F.col("idx")).alias("sku"), "option_values")
+def expanded(products: DataFrame, key: str, groups: str, base_sku: str, most: int = 10_000) -> DataFrame:
+    """(key, idx, sku, option_values) of every combination of a product's groups.
+
+    A product of up to ``most`` combinations makes them in one array. The numbers of a larger one's combinations are dealt
+    out in ranges of ``most``, and each number is read as a mixed-radix number whose digits pick the values.
+    """
+    rows = products.select(key, F.col(base_sku).alias("_base"), F.filter(groups, lambda g: F.size(g["values"]) > 1).alias("_g"))
+    few = rows.select(key, "_base", F.posexplode(combinations(F.col("_g"), most)).alias("idx", "option_values")).where(F.size("option_values") > 0)
+    size = lambda gs, start: F.aggregate(gs, start, lambda a, g: a * F.size(g["values"]))
+    # step: how many combinations run through before a group goes on to its next value
+    many = rows.where(size(F.col("_g"), F.lit(1.0)) > most).withColumns(
+        {"_n": size(F.col("_g"), F.lit(1).cast("bigint")), "_step": F.transform("_g", lambda g, i: size(F.slice("_g", i + 2, F.size("_g")), F.lit(1).cast("bigint")))}
+    )
+    parts = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = many.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(most).cast("bigint")))).repartition(parts, key, "_from")
+    numbered = ranges.withColumn("idx", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + most, F.col("_n")) - 1)))
+    digit = lambda g, step: ((F.col("idx") % (step * F.size(g["values"])) - F.col("idx") % step) / step).cast("int")
+    picked = F.zip_with("_g", "_step", lambda g, step: F.struct(g["name"].alias("option_name"), F.get(g["values"], digit(g, step)).alias("value")))
+    rows = few.withColumn("idx", F.col("idx").cast("bigint")).union(numbered.select(key, "_base", "idx", picked.alias("option_values")))
+    return rows.select(key, "idx", variant_sku(F.col("_base"), F.col("option_values"), F.col("idx")).alias("sku"), "option_values")
 
 
 def added_variants(held: DataFrame, new: DataFrame, key: str) -> DataFrame:

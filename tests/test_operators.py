@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,20 @@ def test_variants(value, spark):
     assert value(variants.text_values(F.array(F.lit("Available in red, blue, 5 mL")))) == ["red", "blue", "5 mL"]
 
 
+def test_expanded_has_every_combination(spark):
+    names = "abcd"
+    rows = [(1, "P", [(n, [f"{n}{i}" for i in range(11)]) for n in names]), (2, "Q", [("a", ["x", "y"]), ("b", ["one"])]), (3, "R", []), (4, "S", None), (5, "T", [("a", ["1", "2", "3"]), ("b", ["4", "5"])])]
+    frame = spark.createDataFrame(rows, "id int, base string, g array<struct<name:string,values:array<string>>>")
+    want = {i: [[(n, v) for n, v in zip([n for n, vs in g if len(vs) > 1], c)] for c in itertools.product(*(vs for _, vs in g if len(vs) > 1))] for i, _, g in rows if g}
+    for most in (10_000, 4):  # one product, and three, beyond what one array holds
+        got: dict = {}
+        for r in variants.expanded(frame, "id", "g", "base", most).orderBy("idx").collect():
+            got.setdefault(r.id, []).append((r.idx, [tuple(o) for o in r.option_values], r.sku))
+        assert {i: [c for _, c, _ in v] for i, v in got.items()} == want
+        assert all([n for n, _, _ in v] == list(range(len(v))) for v in got.values())
+        assert got[1][-1][2] == "P-A10-B10-C10-D10"
+
+
 def test_included(spark):
     lines = ["2 x diaphragms", "two tubes", "cushion (2)", "24mm shield", "tube x 3", "2 × diaphragms", "- bag", ""]
     got = included_items(spark.createDataFrame([(1, x) for x in lines], "id int, line string"), "id", "line").collect()
