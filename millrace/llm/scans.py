@@ -9,7 +9,8 @@ Two facts are counted over all texts: in how many texts a word stands, and how o
 line stands next to a page number or form feed. Of either only entries with a least share of
 the texts are kept. The shares of all words sum to the mean number of different words in a
 text, so their number is bounded by that mean over the least share, however many texts there
-are; that bound makes them safe to broadcast.
+are; that bound makes them safe to broadcast. What the broadcast words leave open is asked of
+the counts of all words by a join, and of the other words of its own text.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.canonical import distance
 from millrace.llm.scan_labels import LABELLED
+from millrace.session import cut
 
 STATES = "HPTBK"  # header, page number, heading or item, body, break
 LEAST_WORD_SHARE = 0.003
 LEAST_LINE_SHARE = 0.0005
+# A word that so many times more texts hold explains a misreading without a telling character.
+FAR_MORE = 25
 _DIGIT = "[0-9OolIiSs]"
 _PAGE = re.compile(rf"^(?:p\. ?{_DIGIT}{{1,4}}|[Pp]age {_DIGIT}{{1,4}}(?: of {_DIGIT}{{1,4}})?|[-–] ?{_DIGIT}{{1,4}} ?[-–]|\[{_DIGIT}{{1,4}}\]|{_DIGIT}{{1,3}}[-/]{_DIGIT}{{1,3}}|[0-9lIO]{{1,4}}|[ivxlc]{{1,8}}|{_DIGIT}{{1,4}} ?[|·•] ?\S+|[A-Z][^\W\d_]+ {_DIGIT}{{1,4}})$")
 _MARKS = "-¬‐\xad"
@@ -173,6 +177,23 @@ _LETTERS = str.maketrans({"0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9":
 _ODD = re.compile(r"[^\W\d_][0-9€†|!§$@¢][^\W\d_]|^[0-9€†|!§$@¢][^\W\d_]{2,}|[€†|§$@¢ﬁﬂ]")
 
 
+def _near(words: list[str]) -> list[str]:
+    """What the words may stand for if one group of their letters is misread."""
+    out: dict[str, None] = {}
+    for w in words:
+        for read, meant in CONFUSIONS:
+            i = w.find(read)
+            while i >= 0:
+                out[w[:i] + meant + w[i + len(read) :]] = None
+                i = w.find(read, i + 1)
+    return list(out)
+
+
+def _plain(word: str) -> bool:
+    """Is it a word without marks that no word has, and without figures among its letters?"""
+    return len(word) > 1 and not _ODD.search(word) and not any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+
+
 class Reader:
     """Words of the corpus, to tell what a misread word stands for."""
 
@@ -188,6 +209,26 @@ class Reader:
             self.memo[raw] = self._meant(raw)
         return self.memo[raw]
 
+    def unsure(self, raw: str) -> bool:
+        """Do the words neither hold the word nor tell what it stands for, be it that it was put right by the fixed letters alone?"""
+        word, meant = raw.lower(), self.meant(raw)
+        if word in self.words or len(word) < 2 or not any(c.isalpha() for c in word) or meant in self.words:
+            return False
+        if any(c.isdigit() for c in word) and (not _ODD.search(word) or sum(c.isdigit() for c in word) > 2 or re.fullmatch(r"[^\W\d_]{3,}[0-9OlI]+", raw)):
+            return False
+        return meant is None or meant == word.translate(_LETTERS)
+
+    def reads_well(self, word: str) -> bool:
+        """Can the word stand for another, itself none that the words explain?"""
+        return _plain(word) and self.meant(word) in (None, word)
+
+    def repeated(self, word: str, own: Counter[str]) -> str | None:
+        """The word that its text has more than once, and oftener, of which this one without a telling character may be a misreading."""
+        if _ODD.search(word) or len(word) < 4:
+            return None
+        near = [v for v in _near([word]) if own.get(v, 0) > max(1, own.get(word, 0)) and self.reads_well(v)]
+        return max(near, key=lambda v: (own[v], v), default=None)
+
     def _meant(self, raw: str) -> str | None:
         word = raw.lower()
         if word in self.words or len(word) < 2 and word not in "lio|":
@@ -239,9 +280,26 @@ def _words(line: str) -> list[str]:
     return [w for w in (t.strip(_EDGE) for t in line.split()) if w]
 
 
-def flaws(text: str, words: dict[str, float], shares: dict[str, float], reader: Reader | None = None) -> tuple[list[tuple[int, str, str]], list[str]]:
-    """(line number, kind, how it should read) of every flaw, and the repaired paragraphs."""
+def flaws(
+    text: str, words: dict[str, float], shares: dict[str, float], reader: Reader | None = None, rare: dict[str, str] | None = None, asked: set[str] | None = None
+) -> tuple[list[tuple[int, str, str]], list[str]]:
+    """(line number, kind, how it should read) of every flaw, and the repaired paragraphs.
+
+    ``rare`` tells what words stand for that ``words`` leaves open, ``asked`` takes up those words: as they
+    stand in lower case, and a broken one as a line feed, its first part, a line feed and the rest.
+    """
     reader = reader or Reader(words)
+    rare = rare or {}
+    own = Counter(w.lower() for w in _words(text))
+
+    def read(core: str) -> str | None:
+        meant, word = reader.meant(core), core.lower()
+        if not reader.unsure(core):
+            return meant
+        if asked is not None:
+            asked.add(word)
+        return rare.get(word) or reader.repeated(word, own) or meant
+
     lines = text.split("\n")
     labels = label_lines(lines, shares)
     found: list[tuple[int, str, str]] = []
@@ -267,7 +325,7 @@ def flaws(text: str, words: dict[str, float], shares: dict[str, float], reader:
             start, first = carried
             carried = None
             body = tokens[0].rstrip(_EDGE)
-            whole = _joined(first, body, reader)
+            whole = _joined(first, body, reader, rare, asked)
             found.append((start, "hyphen_break", whole))
             lead = open_text.pop() if open_text else ""
             open_text.append(_as_written(lead, first, whole, tokens[0][len(body) :]))
@@ -282,7 +340,7 @@ def flaws(text: str, words: dict[str, float], shares: dict[str, float], reader:
                 carried = (n, token[: token.rfind(mark)].lstrip(_EDGE))
                 open_text.append(token)
                 continue
-            meant = reader.meant(core) if core else None
+            meant = read(core) if core else None
             if meant is not None and meant != core.lower():
                 found.append((n, "misread", meant))
                 token = token.replace(core, meant.capitalize() if core[:1].isupper() else meant)
@@ -303,7 +361,7 @@ def _continues(lines: list[str], labels: str, n: int) -> bool:
     return False
 
 
-def _joined(first: str, rest: str, reader: Reader) -> str:
+def _joined(first: str, rest: str, reader: Reader, rare: dict[str, str], asked: set[str] | None = None) -> str:
     """A broken word whole: without the hyphen if the corpus knows it so, with it if it knows only that."""
     plain, hyphen = (first + rest).lower(), f"{first}-{rest}".lower()
     if plain in reader.words:
@@ -317,7 +375,10 @@ def _joined(first: str, rest: str, reader: Reader) -> str:
         return a
     if b and b in reader.words:
         return b
-    return a or plain
+    ask = f"\n{first}\n{rest}".lower()
+    if asked is not None:
+        asked.add(ask)
+    return rare.get(ask) or a or plain
 
 
 def _as_written(lead: str, first: str, whole: str, tail: str) -> str:
@@ -325,10 +386,22 @@ def _as_written(lead: str, first: str, whole: str, tail: str) -> str:
     return f"{opening}{whole.capitalize() if first[:1].isupper() else whole}{tail}"
 
 
+def _rests(lines: list[str]) -> Iterator[list[str]]:
+    """The words of each line without the parts of broken words."""
+    broken = False
+    for line in lines:
+        tokens = line.split()
+        if broken and tokens and not tokens[0][0].isupper():
+            tokens, broken = tokens[1:], False
+        if mark := broken_by(line):
+            broken, tokens = bool(mark), tokens[:-1]
+        yield tokens
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per batch: in how many texts each word and short line stands, how often the line stands, and how often at a page's edge."""
+    """Per batch: in how many texts each word and short line stands, and the word not as a part of a broken one; how often the line stands, and how often at a page's edge."""
     for batch in batches:
-        docs, total, edges = Counter(), Counter(), Counter()
+        docs, total, edges, whole = Counter(), Counter(), Counter(), Counter()
         for text in batch["text"]:
             if not isinstance(text, str):
                 continue
@@ -341,13 +414,20 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     total[key] += 1
                     edges[key] += f[2] != "inner"
             docs.update(seen)
-        yield pd.DataFrame([(k, v, n, total[k, v], edges[k, v]) for (k, v), n in docs.items()], columns=["kind", "value", "docs", "total", "edges"])
+            whole.update({w.lower() for tokens in _rests(lines) for t in tokens if (w := t.strip(_EDGE))})
+        yield pd.DataFrame([(k, v, n, total[k, v], edges[k, v], whole[v] if k == "w" else 0) for (k, v), n in docs.items()], columns=["kind", "value", "docs", "total", "edges", "whole"])
 
 
-def corpus_facts(texts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """(kind, value, docs, total, edges, whole) of every word and short line, written once."""
+    counted = texts.select("text").mapInPandas(_counts, "kind string, value string, docs bigint, total bigint, edges bigint, whole bigint").groupBy("kind", "value")
+    return cut(counted.agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"), F.sum("edges").alias("edges"), F.sum("whole").alias("whole")))
+
+
+def corpus_facts(texts: DataFrame, counted: DataFrame | None = None) -> tuple[dict[str, float], dict[str, float]]:
     """(word to its share of the texts, short line to the share of its occurrences at a page's edge), entries with the least shares."""
     n = texts.where("text is not null").count()
-    counted = texts.select("text").mapInPandas(_counts, "kind string, value string, docs bigint, total bigint, edges bigint").groupBy("kind", "value").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"), F.sum("edges").alias("edges"))
+    counted = corpus_counts(texts) if counted is None else counted
     least = F.when(F.col("kind") == "w", LEAST_WORD_SHARE * n).otherwise(LEAST_LINE_SHARE * n)
     kept = counted.where((F.col("docs") >= 3) & (F.col("docs") >= least)).collect()
     return {r["value"]: r["docs"] / max(1, n) for r in kept if r["kind"] == "w"}, {r["value"]: r["edges"] / max(1, r["total"]) for r in kept if r["kind"] == "l"}
@@ -364,21 +444,78 @@ def clean_lexicon(words: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def _read(pdfs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, r): struct r of the flaws and paragraphs of each row's text."""
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(ask, word, telling, value, layer) of all an asked word may be: itself whole (0), one or, with a telling character, two groups of letters away."""
+    for batch in batches:
+        out = []
+        for ask in batch["ask"]:
+            broken = ask.startswith("\n")
+            first, _, rest = ask[1:].partition("\n") if broken else (ask, "", "")
+            word = first + rest
+            telling = bool(_ODD.search(word))
+            layers = [[word, f"{first}-{rest}"] if broken else [], near := _near([word]), _near(near) if telling else []]
+            seen = set() if broken else {word}
+            for n, layer in enumerate(layers):
+                out += [(ask, word, telling, v, n) for v in layer if v not in seen and (n == 0 or _plain(v))]
+                seen.update(layer)
+        yield pd.DataFrame(out, columns=["ask", "word", "telling", "value", "layer"])
+
+
+def rare_meanings(asks: DataFrame, counted: DataFrame, words: dict[str, float]) -> DataFrame:
+    """(ask, meant) of asked words, by the counts of all words.
+
+    A broken word is what stands whole elsewhere; a word with a telling character is the nearest
+    word that stands anywhere; any other the nearest that FAR_MORE times as many texts hold.
+    """
+    docs = counted.where("kind = 'w' and whole > 0").select("value", F.col("whole").alias("docs"))
+    found = asks.select("ask").distinct().mapInPandas(_candidates, "ask string, word string, telling boolean, value string, layer int").join(docs, "value")
+    held = found.join(docs.select(F.col("value").alias("word"), F.col("docs").alias("held")), "word", "left").where(
+        F.col("telling") | (F.col("layer") == 0) | (F.col("docs") > FAR_MORE * F.greatest(F.coalesce("held", F.lit(0)), F.lit(1)))
+    )
+
+    def well(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(words)
+        for values in batches:
+            yield pd.Series([reader.reads_well(v) for v in values], dtype=bool)
+
+    sound = held.where((F.col("layer") == 0) | F.pandas_udf(well, "boolean")("value"))
+    return sound.groupBy("ask").agg(F.min_by("value", F.struct("layer", -F.col("docs"), "value")).alias("meant"))
+
+
+_FLAWS = "flaws:array<struct<line_no:bigint,kind:string,fixed:string>>,paragraphs:array<string>"
+
+
+def _read(pdfs: DataFrame, key: str, text: str, *parts: str) -> DataFrame:
+    """(key, parts): of the flaws and paragraphs of each row's text those asked for.
+
+    Texts are read with the broadcast words; what these leave open is joined with the counts of
+    all words, and the texts for which that tells something are read again.
+    """
     rows = pdfs.select(F.col(key), F.col(text).alias("text"))
-    words, shares = corpus_facts(rows)
+    counted = corpus_counts(rows)
+    words, shares = corpus_facts(rows, counted)
     words = clean_lexicon(words)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         reader = Reader(words)
-        for texts in batches:
-            got = [flaws(t, words, shares, reader) if isinstance(t, str) else ([], []) for t in texts]
-            yield pd.DataFrame({"flaws": [[{"line_no": a, "kind": b, "fixed": c} for a, b, c in f] for f, _ in got], "paragraphs": [p for _, p in got]})
+        for texts, known in batches:
+            got, asks = [], []
+            for t, rare in zip(texts, known):
+                asked: set[str] = set()
+                got.append(flaws(t, words, shares, reader, {x["ask"]: x["meant"] for x in rare}, asked) if isinstance(t, str) else ([], []))
+                asks.append(sorted(asked))
+            yield pd.DataFrame({"flaws": [[{"line_no": a, "kind": b, "fixed": c} for a, b, c in f] for f, _ in got], "paragraphs": [p for _, p in got], "asks": asks})
 
     # Said to be nondeterministic, so that no part of the struct makes it run again.
-    result = F.pandas_udf(run, "struct<flaws:array<struct<line_no:bigint,kind:string,fixed:string>>,paragraphs:array<string>>").asNondeterministic()
-    return rows.where(F.col(key).isNotNull()).select(key, result("text").alias("r"))
+    result = F.pandas_udf(run, f"struct<{_FLAWS},asks:array<string>>").asNondeterministic()
+    rows = rows.where(F.col(key).isNotNull()).withColumn("_h", F.sha2("text", 256))
+    nothing = F.array().cast("array<struct<ask:string,meant:string>>")
+    fields = [f"r.{p}" for p in parts]
+    once = cut(rows.select(key, "_h", result("text", nothing).alias("r")).select(key, "_h", *fields, "r.asks"))
+    asks = once.select("_h", F.explode("asks").alias("ask")).distinct()
+    told = cut(asks.join(rare_meanings(asks, counted, words), "ask").groupBy("_h").agg(F.collect_list(F.struct("ask", "meant")).alias("_rare")))
+    again = rows.join(told, "_h").select(key, result("text", "_rare").alias("r")).select(key, *fields)
+    return once.join(told.select("_h"), "_h", "left_anti").select(key, *parts).union(again)
 
 
 def repaired(pdfs: DataFrame, key: str = "pdf_id", text: str = "raw_text") -> DataFrame:
@@ -386,9 +523,9 @@ def repaired(pdfs: DataFrame, key: str = "pdf_id", text: str = "raw_text") -> Da
 
     Null and blank texts have neither. A text that repeats under its key comes out once.
     """
-    return _read(pdfs, key, text).select(key, "r.flaws", "r.paragraphs").distinct()
+    return _read(pdfs, key, text, "flaws", "paragraphs").distinct()
 
 
 def found_flaws(pdfs: DataFrame) -> DataFrame:
     """(pdf_id, line_no, kind, fixed) of every flaw."""
-    return _read(pdfs, "pdf_id", "raw_text").select("pdf_id", F.inline("r.flaws")).distinct()
+    return _read(pdfs, "pdf_id", "raw_text", "flaws").select("pdf_id", F.inline("flaws")).distinct()

@@ -8,7 +8,7 @@ from millrace.llm import canonical, encoding, mixing, packing
 from millrace.llm.boilerplate import Classifier, all_furniture, furniture, main_bodies
 from millrace.llm.canonical import BkTree, Matcher, distance, short_forms
 from millrace.llm.listings import identity, measures, product_groups, product_pairs, suffix_measure
-from millrace.llm.scans import clean_lexicon, flaws, found_flaws, label_lines
+from millrace.llm.scans import clean_lexicon, flaws, found_flaws, label_lines, rare_meanings
 from millrace.llm.setjoin import containment_join, star_clusters
 from millrace.llm.tokens import VOCABULARY, count_tokens
 
@@ -212,6 +212,22 @@ def test_flaw_table(spark):
     assert found_flaws(frame.limit(0)).count() == 0
 
 
+def test_rare_words_are_known(spark):
+    """Words below the share that serves all texts: by the counts of all words, and by the other words of the text."""
+    texts = [f"The wheel must turn before use." for _ in range(60)]
+    texts += ["The iskarra door must turn.", "The anti-tip wheel must turn.", "The 1skarra wheel must turn, and so the d0or.", "The wheel and the anti-\ntip must turn."]
+    texts += ["The Zulvatade must turn before Zulvatade use, Zulvafade wheel.", "The bolena wheel.", "The holena wheel."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "pdf_id long, raw_text string")
+    got = {(r.pdf_id - 60, r.kind, r.fixed) for r in found_flaws(frame).collect()}
+    assert got == {(2, "misread", "iskarra"), (2, "misread", "door"), (3, "hyphen_break", "anti-tip"), (4, "misread", "zulvatade")}
+
+
+def test_rare_words_far_more_frequent(spark):
+    counted = spark.createDataFrame([("w", "iskarra", 26), ("w", "iskarro", 1), ("w", "vornumic", 25), ("w", "vornumie", 1), ("w", "tallolero", 1), ("w", "tallotero", 1)], "kind string, value string, whole long")
+    asks = spark.createDataFrame([(w,) for w in ("iskarro", "iskorra", "vornumie", "tallolero", "tallotero")], "ask string")
+    assert {tuple(r) for r in rare_meanings(asks, counted, {}).collect()} == {("iskarro", "iskarra"), ("iskorra", "iskarra")}
+
+
 # --- packing
 
 HAVE_VOCABULARY = __import__("os").path.exists(VOCABULARY)
