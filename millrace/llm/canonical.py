@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -155,20 +155,33 @@ def threshold(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 6 else 2 if len(word) < 12 else 3 if len(word) < 18 else 4
 
 
+class FieldFacts:
+    """What is told by all entries of a field: their words, and the first words that more words follow, the longest first."""
+
+    def __init__(self, entries: Iterable[tuple[int, str]]):
+        self.words: Counter[str] = Counter()
+        firsts: set[str] = set()
+        for _, canonical in entries:
+            w = fold(canonical).split()
+            self.words.update(w)
+            if len(w) > 1 and len(w[0]) >= 5:
+                firsts.add(w[0])
+        self.firsts = sorted(firsts, key=lambda x: (-len(x), x))
+
+
 class Matcher:
-    """The entries of one field in one shard."""
+    """The entries of one field in one shard; ``field`` has all entries of the field, if these are but a shard of them."""
 
-    def __init__(self, entries: list[tuple[int, str]], short_forms: dict[str, int]):
+    def __init__(self, entries: list[tuple[int, str]], short_forms: dict[str, int], field: FieldFacts | None = None):
         self.tree = BkTree()
         self.exact: dict[str, list[int]] = {}
         self.raw = {i: c for i, c in entries}
-        self.words: Counter[str] = Counter()
-        self.firsts = sorted({w[0] for _, c in entries if len(w := fold(c).split()) > 1 and len(w[0]) >= 5}, key=len, reverse=True)
+        field = field or FieldFacts(entries)
+        self.words, self.firsts = field.words, field.firsts
         for i, canonical in entries:
             folded = fold(canonical)
             self.exact.setdefault(folded.replace(" ", ""), []).append(i)
             self.tree.add(folded.replace(" ", ""), i)
-            self.words.update(folded.split())
         self.short_forms = short_forms
         self.short_tree = BkTree()
         for short, i in short_forms.items():
@@ -232,19 +245,23 @@ class Matcher:
                                 out.append(key)
         return out
 
-    def best(self, text: str) -> tuple[int, int] | None:
-        """(distance, entry) of the closest entry, or None if none is within the threshold."""
+    def ranked(self, text: str) -> tuple[int, int, int, int] | None:
+        """(kind, distance, rank, entry) of the closest entry, or None if none is within the threshold.
+
+        The least of several shards is that of the whole list. Kinds, the best first: an entry, a short form, an entry at a
+        distance, a short form at a distance. The rank of the first two is the reading it was found by, of the others the
+        distance with marks and blanks.
+        """
         if fold(text) in PLACEHOLDERS:
             return None
         forms = self.candidates(text)
-        for form in forms:
-            if form in self.exact:
-                return 0, self.exact[form][0]
-        for form in forms:
-            if form in self.short_forms:
-                return 0, self.short_forms[form]
-        found: dict[int, int] = {}
-        for tree, cap in ((self.tree, 4), (self.short_tree, 2)):
+        for kind, known in enumerate((self.exact, self.short_forms)):
+            for n, form in enumerate(forms):
+                if form in known:
+                    return kind, 0, n, known[form][0] if kind == 0 else known[form]
+        low = text.lower().strip()
+        for kind, (tree, cap) in enumerate(((self.tree, 4), (self.short_tree, 2)), 2):
+            found: dict[int, int] = {}
             for most in range(1, cap + 1):  # a small radius prunes most, and suits most values
                 for form in forms:
                     if most <= threshold(form):
@@ -254,16 +271,17 @@ class Matcher:
                 if found:
                     break
             if found:
-                break
-        if not found:
-            return None
-        # ties: the entry closest with its marks and blanks, then the first
-        least = min(found.values())
-        tied = [i for i, d in found.items() if d == least]
-        if len(tied) > 1:
-            low = text.lower().strip()
-            tied.sort(key=lambda i: (distance(low, self.raw[i].lower(), 60), i))
-        return least, tied[0]
+                # ties: the entry closest with its marks and blanks, then the first
+                least = min(found.values())
+                tied = [i for i, d in found.items() if d == least]
+                rank, entry = min((distance(low, self.raw[i].lower(), 60), i) for i in tied)
+                return kind, least, rank, entry
+        return None
+
+    def best(self, text: str) -> tuple[int, int] | None:
+        """(distance, entry) of the closest entry, or None if none is within the threshold."""
+        hit = self.ranked(text)
+        return hit and (hit[1], hit[3])
 
 
 def _shortens(short: str, word: str) -> bool:
@@ -279,11 +297,14 @@ def short_forms(entries: list[tuple[int, str]]) -> dict[str, int]:
     return {w[0]: i for i, c in entries if len(w := fold(c).split()) > 1 and firsts[w[0]] == 1 and w[0] not in rest and len(w[0]) >= 5}
 
 
-def _searcher(shard: dict[str, list[tuple[int, str]]], shorts: dict[str, dict[str, int]]) -> Callable:
+_HIT = ("kind", "distance", "rank", "entry")
+
+
+def _searcher(shard: dict[str, list[tuple[int, str]]], shorts: dict[str, dict[str, int]], facts: dict[str, FieldFacts]) -> Callable:
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        matchers = {f: Matcher(entries, shorts.get(f, {})) for f, entries in shard.items()}
+        matchers = {f: Matcher(entries, shorts.get(f, {}), facts[f]) for f, entries in shard.items()}
         exact = {f: {c for _, c in entries} for f, entries in shard.items()}
-        known: dict[tuple[str, str], tuple[bool, int | None, int | None]] = {}
+        known: dict[tuple[str, str], tuple[bool, int | None, int | None, int | None, int | None]] = {}
         for fields, texts in batches:
             out = []
             for key in zip(fields, texts):
@@ -291,10 +312,10 @@ def _searcher(shard: dict[str, list[tuple[int, str]]], shorts: dict[str, dict[st
                     if len(known) > 200_000:
                         known.clear()
                     f, text = key
-                    hit = matchers[f].best(text) if f in matchers else None
-                    known[key] = (f in exact and text in exact[f], *(hit or (None, None)))
+                    hit = matchers[f].ranked(text) if f in matchers else None
+                    known[key] = (f in exact and text in exact[f], *(hit or (None,) * 4))
                 out.append(known[key])
-            yield pd.DataFrame(out, columns=["canonical", "distance", "entry"]).astype({"distance": "Int64", "entry": "Int64"})
+            yield pd.DataFrame(out, columns=["canonical", *_HIT]).astype(dict.fromkeys(_HIT, "Int64"))
 
     return run
 
@@ -308,25 +329,33 @@ def map_to_list(values: DataFrame, reference: DataFrame, spec_field: str, text:
 
     Plan: narrow. The list goes to the driver in shards of at most shard_size entries; a
     longer list makes several passes of the search over each row, whose winners are merged
-    in the row, without a shuffle.
+    in the row, without a shuffle. What a field's whole list tells (short forms, words, first
+    words) goes to every shard, so a shard's winner is ranked as in the whole list.
     """
     listed = reference.where(F.col("canonical").isNotNull()).select("canon_id", "spec_field", "canonical").distinct()
     count = listed.count()
     n_shards = max(1, -(-count // shard_size))
     numbered = listed.withColumn("_shard", F.pmod(F.xxhash64("spec_field", "canonical"), F.lit(n_shards)).cast("int"))
+    # Short forms, words and first words are told by the whole list of a field, whatever shard an entry is in.
+    whole: dict[str, list[tuple[int, str]]] = {}
+    for r in listed.orderBy("canon_id").toLocalIterator():
+        whole.setdefault(r["spec_field"], []).append((r["canon_id"], r["canonical"]))
+    facts = {f: FieldFacts(entries) for f, entries in whole.items()}
+    all_shorts = {f: short_forms(entries) for f, entries in whole.items()}
     out = values
     hits = []
     for s in range(n_shards):
         shard: dict[str, list[tuple[int, str]]] = {}
         for r in numbered.where(F.col("_shard") == s).orderBy("canon_id").toLocalIterator():
             shard.setdefault(r["spec_field"], []).append((r["canon_id"], r["canonical"]))
-        shorts = {f: short_forms(entries) for f, entries in shard.items()}
+        here = {f: {i for i, _ in entries} for f, entries in shard.items()}
+        shorts = {f: {w: i for w, i in all_shorts[f].items() if i in ids} for f, ids in here.items()}
         # Said to be nondeterministic, so that it isn't run once for a filter and once for the result.
-        search = F.pandas_udf(_searcher(shard, shorts), "struct<canonical:boolean,distance:bigint,entry:bigint>").asNondeterministic()
+        search = F.pandas_udf(_searcher(shard, shorts, {f: facts[f] for f in shard}), "struct<canonical:boolean,kind:bigint,distance:bigint,rank:bigint,entry:bigint>").asNondeterministic()
         name = f"_hit{s}"
         out = out.withColumn(name, search(F.col(spec_field), F.coalesce(F.col(text), F.lit(""))))
         hits.append(name)
-    winner = F.array_min(F.filter(F.array(*(F.struct(F.col(f"{h}.distance").alias("distance"), F.col(f"{h}.entry").alias("entry")) for h in hits)), lambda x: x["entry"].isNotNull()))
+    winner = F.array_min(F.filter(F.array(*(F.struct(*(F.col(f"{h}.{x}").alias(x) for x in _HIT)) for h in hits)), lambda x: x["entry"].isNotNull()))
     is_canonical = F.exists(F.array(*(F.col(f"{h}.canonical") for h in hits)), lambda x: x)
     return out.withColumns({"is_canonical": is_canonical, "entry": F.coalesce(winner["entry"], F.lit(0)).cast("bigint")}).drop(*hits)
 

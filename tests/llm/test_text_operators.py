@@ -143,6 +143,17 @@ def test_map_to_list_shards_agree(spark):
     assert {r.entry for r in canonical.map_to_list(values, reference.limit(0), "spec_field", "value").collect()} == {0}
 
 
+def test_shards_know_the_whole_list(spark):
+    """Short forms, abbreviations and ties of a list in shards come out as those of the whole list."""
+    names = ["Kestral Industries", "Kestral Medical", "Orvane Mobility", "Orvane Mobile", "Talmere Healthcare", "Talmere Health Care Co", "Zolvane", "Zölvane-B", "Zolvane C", "Norvik Industrial", "Hulpadir Mobility", "Dulpenor Ind"]
+    texts = ["Kestral", "Kestrel", "Orvane", "Kestral Ind", "Hulpadir", "hulpadr", "Orvane Mob", "Talmere Hlthcare", "zolvane d", "Zolvane-C", "ZOLVANE  B", "Norvik", "Made in Norvik Industrial", "Kestral Medcal", "Orvane Mobiliti", "Dulpenor", "HulpadirMobility"]
+    reference = spark.createDataFrame([(i, "f", c) for i, c in enumerate(names, 1)], "canon_id long, spec_field string, canonical string")
+    values = spark.createDataFrame([("f", t) for t in texts], "spec_field string, value string")
+    runs = [{r.value: r.entry for r in canonical.map_to_list(values, reference, "spec_field", "value", shard_size=size).collect()} for size in (20_000, 4, 2)]
+    assert runs[0] == runs[1] == runs[2]
+    assert runs[0]["Kestral"] == 0 and runs[0]["Hulpadir"] == 11
+
+
 # --- page furniture
 
 
