@@ -48,7 +48,7 @@ def containment_join(sets: DataFrame, threshold: float, id_: str = "id", tokens:
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (common / F.col("a.whole")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9).distinct()
 
 
-def star_clusters(nodes: DataFrame, links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def star_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, center): every node with the center of its star.
 
     ``nodes`` has id and rank (any ordered type; the higher comes first, ids break ties),
@@ -57,18 +57,17 @@ def star_clusters(nodes: DataFrame, links: DataFrame, most_rounds: int = 50) ->
     similar center. A star has radius one, so sets that only a chain joins stay apart. A
     node without links is its own center.
 
-    Each round is written to the checkpoint folder; rounds are few, as every round closes
-    every local maximum and its neighbours.
+    Each round is written to the checkpoint folder. Every round closes every local maximum
+    and its neighbours, so rounds are few unless ranks fall steadily along a long chain, and
+    they end when no link is left, as each closes the highest node at least.
     """
     ranked = nodes.select("id", F.struct("rank", F.col("id").alias("by")).alias("rank"))
-    both = links.select("a", "b", "similarity").union(links.select("b", "a", "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    both = links.select("a", "b", "similarity").union(links.select("b", "a", "similarity")).where("a <> b").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     linked = both.select("a").distinct()
     done = ranked.join(linked, F.col("id") == F.col("a"), "left_anti").select("id", F.col("id").alias("center"))
     edges = cut(both.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("rank_a")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rank_b")), "b"))
-    open_nodes = linked.select(F.col("a").alias("id")).join(ranked, "id")
-    for _ in range(most_rounds):
-        if edges.isEmpty():
-            break
+    rounds = 0
+    while not edges.isEmpty():
         tops = edges.groupBy(F.col("a").alias("id")).agg(F.max("rank_b").alias("best"), F.first("rank_a").alias("rank")).where(F.col("rank") > F.col("best")).select("id")
         taken = (
             edges.join(tops, F.col("b") == F.col("id"), "left_semi")
@@ -76,8 +75,13 @@ def star_clusters(nodes: DataFrame, links: DataFrame, most_rounds: int = 50) ->
             .agg(F.max_by("b", F.struct("similarity", "rank_b")).alias("center"))
         )
         closed = cut(tops.select("id", F.col("id").alias("center")).union(taken.join(tops, "id", "left_anti")))
+        if closed.isEmpty():
+            raise ValueError("no node outranks its neighbours: an id has several ranks")
         done = done.union(closed)
         gone = closed.select("id")
         edges = cut(edges.join(gone, F.col("a") == F.col("id"), "left_anti").join(gone, F.col("b") == F.col("id"), "left_anti"))
-        open_nodes = open_nodes.join(gone, "id", "left_anti")
-    return done.union(open_nodes.select("id", F.col("id").alias("center")))
+        rounds += 1
+        if rounds % 20 == 0:  # keeps the plan of a long chain short
+            done = cut(done)
+    left = linked.select(F.col("a").alias("id")).join(ranked, "id").join(done, "id", "left_anti")
+    return done.union(left.select("id", F.col("id").alias("center")))

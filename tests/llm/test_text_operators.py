@@ -42,6 +42,14 @@ def test_stars(spark):
     assert star_clusters(nodes, links.limit(0)).count() == 5
 
 
+def test_stars_of_a_long_chain(spark):
+    """Ranks that fall along a chain take a round for two nodes: more than fifty rounds."""
+    n = 106
+    nodes = spark.createDataFrame([(i, n - i) for i in range(n)], "id long, rank int").coalesce(1)
+    links = spark.createDataFrame([(i, i + 1, 0.9) for i in range(n - 1)], "a long, b long, similarity double").coalesce(1)
+    assert {r.id: r.center for r in star_clusters(nodes, links).collect()} == {i: i - i % 2 for i in range(n)}
+
+
 # --- listings
 
 LISTING = "listing_id long, seller string, name string, sku string, brand string, price double, specs_html string, categories array<string>, ingested_at timestamp, product string"
