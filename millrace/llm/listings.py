@@ -141,17 +141,24 @@ def respelled(words: DataFrame) -> DataFrame:
     """(word, to) of the words that are a slip of a more frequent one; ``words`` has word, n, number and kind.
 
     Two words meet in what remains when one letter is left out, or a line word is taken off
-    the end; each such remainder points to its most frequent word, so no pairs of a group are
-    made. A word goes over only to one a slip away without another code number, which is at
+    the end; each such remainder points to its most frequent word, and to the most frequent of
+    the word's own code number and of none, so no pairs of a group are made. A word goes over only to one a slip away without another code number, which is at
     least twice as frequent or has the same number.
     """
     long = words.where(F.length("word") >= 6)
     left_out = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substr("word", F.lit(1), i - 1), F.substr("word", i + 1)))
     stems = F.array_compact(F.array(*(F.when(F.endswith("word", F.lit(x)) & (F.length("word") >= len(x) + 5), F.expr(f"left(word, length(word) - {len(x)})")) for x in LINES)))
     met = long.select("*", F.explode(F.array_distinct(F.concat(F.array("word"), left_out, stems))).alias("key"))
-    best = met.groupBy("key", "kind").agg(F.max(F.struct("n", "word", "number")).alias("best"))
+    top = F.max(F.struct("n", "word", "number")).alias("best")
+    by_number = cut(met.groupBy("key", "kind", "number").agg(top))
+    overall = by_number.groupBy("key", "kind").agg(F.max("best").alias("best"))
+    # A word with a number fits the best word of that number or of none; one without fits the best overall.
+    bare = by_number.where("number is null").select("key", "kind", F.col("best").alias("bare"))
+    own = by_number.where("number is not null").select("key", "kind", "number", F.col("best").alias("own"))
     frequent = (F.col("best.n") >= 2 * F.col("n")) | ((F.col("number") == F.col("best.number")) & (F.struct("n", "word") < F.struct("best.n", "best.word")))
-    pairs = met.join(best, ["key", "kind"]).where(frequent & (F.col("best.word") != F.col("word")))
+    offered = met.join(overall, ["key", "kind"]).join(bare, ["key", "kind"], "left").join(own, ["key", "kind", "number"], "left")
+    offered = offered.withColumn("best", F.explode(F.array_distinct(F.array_compact(F.array("best", "bare", "own"))))).drop("bare", "own")
+    pairs = offered.where(frequent & (F.col("best.word") != F.col("word")))
     near = F.levenshtein("word", "best.word") <= F.when(F.col("key") == F.col("best.word"), 4).otherwise(2)
     fits = F.col("number").isNull() | F.col("best.number").isNull() | (F.col("number") == F.col("best.number"))
     return pairs.where(near & fits).groupBy("word").agg(F.max(F.struct(F.col("best.n"), F.col("best.word").alias("to"))).alias("_b")).select("word", "_b.to")

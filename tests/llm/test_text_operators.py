@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from millrace.llm import canonical, encoding, mixing, packing
 from millrace.llm.boilerplate import Classifier, all_furniture, furniture, main_bodies
 from millrace.llm.canonical import BkTree, Matcher, distance, short_forms
-from millrace.llm.listings import identity, measures, product_groups, product_pairs, suffix_measure
+from millrace.llm.listings import identity, measures, product_groups, product_pairs, respelled, suffix_measure
 from millrace.llm.scans import clean_lexicon, flaws, found_flaws, label_lines, rare_meanings
 from millrace.llm.setjoin import containment_join, star_clusters
 from millrace.llm.tokens import VOCABULARY, count_tokens
@@ -86,6 +86,13 @@ def test_listings(spark):
     assert product_pairs(frame.limit(0)).count() == 0
 
 
+def test_slips_find_the_word_that_fits(spark):
+    """The most frequent word of a remainder has another code number; the next one fits."""
+    words = [("horidela", 1, "7", ""), ("horidela" + "n", 90, "8", ""), ("horideal", 1, None, ""), ("horidella", 5, "7", ""), ("sulvorum", 1, "3", ""), ("sulvarum", 20, "4", ""), ("sulverum", 6, None, "")]
+    got = {tuple(r) for r in respelled(spark.createDataFrame(words, "word string, n long, number string, kind string")).collect()}
+    assert ("horidela", "horidella") in got and ("sulvorum", "sulverum") in got
+
+
 # --- reference lists
 
 
