@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from millrace.functions.text import WS, bound, strip
+from millrace.functions.text import WS, bound, first_of_each, strip
 
 # Fixed values of the line rules.
 STOP_WORDS = [" the ", " and ", " with ", " for ", " from ", " of ", " to ", " an ", " a ", " in "]
@@ -60,7 +60,7 @@ def english_by_words(line: Column) -> Column:
 
 def distinct_in_order(lines: Column) -> Column:
     """The first of each group of lines equal but for case."""
-    return bound(lines, lambda xs: bound(F.transform(xs, F.lower), lambda low: F.filter(xs, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
+    return first_of_each(lines, F.lower)
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -143,8 +143,7 @@ def joined_fragments(lines: Column) -> Column:
 def clean_features(lines: Column) -> Column:
     """Distinct feature lines without instructions and long ones, fragments joined, spec-like lines left out."""
     usable = F.filter(lines, lambda x: x.isNotNull() & (strip(x) != "") & ~F.lower(strip(x)).rlike(INSTRUCTION_WORDS) & (F.length(x) <= 150) & ~F.contains(x, F.lit("\n")))
-    once = bound(usable, lambda xs: bound(F.transform(xs, lambda x: F.lower(strip(x))), lambda low: F.filter(xs, lambda x, i: F.array_position(low, F.lower(strip(x))) == i + 1)))
-    joined = joined_fragments(once)
+    joined = joined_fragments(first_of_each(usable, lambda x: F.lower(strip(x))))
     return F.filter(joined, lambda x: ~F.lower(strip(x)).rlike(SPEC_LIKE_STARTS) & ~F.contains(x, F.lit(":")))
 
 

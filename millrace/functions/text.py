@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # White space as page scripts count it, spelt out because regex dialects differ about \s.
@@ -16,6 +18,18 @@ def bound(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def first_of_each(items: Column, key: Callable[[Column], Column], last: bool = False) -> Column:
+    """The first (or last) of the items with equal keys, in the order of the array; null stays null.
+
+    Items are sorted by (key, place) and compared with their neighbour, so the work is
+    n log n in the length of the array.
+    """
+    placed = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), ((-i) if last else i).alias("i"), x.alias("x")))
+    heads = bound(F.array_sort(placed), lambda rows: F.filter(rows, lambda r, i: (i == 0) | ~r["k"].eqNullSafe(F.get(rows, i - 1)["k"])))
+    back = F.array_sort(F.transform(heads, lambda r: F.struct((F.abs(r["i"])).alias("i"), r["x"].alias("x"))))
+    return F.transform(back, lambda r: r["x"])
+
+
 def squeeze(x: Column) -> Column:
     """Runs of white space are one blank, none at the ends; null gives ''."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), f"{WS}+", " "), "^ | $", "")

@@ -58,9 +58,9 @@ def flagship_doc_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by language: distinct English lines by class, completeness, publishable ones."""
     docs = table(spark, folder, "documents")
     kept = L.distinct_in_order(F.filter(L.lines_of(F.col("text")), L.english_by_ascii))
-    of = lambda c: F.size(F.filter("_k", lambda x: L.sentence_class(x) == c)).cast("bigint")
+    of = lambda c: F.size(F.filter("_c", lambda x: x == c)).cast("bigint")
     missing = quality.missing({"text": (F.col("text"), "text"), "lang": (F.col("lang"), "any"), "source": (F.col("source"), "any"), "title": (F.col("title"), "any"), "lines": (F.col("_k"), "list")})
-    scored = docs.withColumn("_k", kept).select("lang", F.size("_k").alias("n"), of("feature").alias("f"), of("benefit").alias("b"), of("included").alias("i"), quality.completeness(missing, 5).alias("c"))
+    scored = docs.withColumn("_k", kept).withColumn("_c", F.transform("_k", L.sentence_class)).select("lang", F.size("_k").alias("n"), of("feature").alias("f"), of("benefit").alias("b"), of("included").alias("i"), quality.completeness(missing, 5).alias("c"))
     total = lambda c, name: F.sum(c).cast("bigint").alias(name)
     return scored.groupBy("lang").agg(F.count("*").alias("documents"), total("n", "lines_kept"), total("f", "features"), total("b", "benefits"), total("i", "included"), total("c", "completeness_sum"), F.sum(F.when(F.col("c") >= 95, 1).otherwise(0)).cast("bigint").alias("publishable"))
 

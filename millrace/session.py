@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +44,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, one machine) a temporary folder."""
+    """spark.checkpoint.dir of the session; only a local session that leaves it unset gets a temporary folder, removed at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix=f"millrace-{os.getpid()}-")
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix=f"millrace-{os.getpid()}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
