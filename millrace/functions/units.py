@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import product
 
 Vector = tuple[int, int, int, int]
 
@@ -101,6 +103,17 @@ FIELDS: dict[str, Unit] = {
 }
 MULTI_FIELDS = frozenset({"dimensions", "size"})
 
+
+@dataclass(frozen=True, eq=False)
+class FieldSet:
+    """The fields whose quantities are read: the canonical unit of each, and those that hold several measures."""
+
+    units: Mapping[str, Unit]
+    multi: frozenset[str] = frozenset()
+
+
+PRODUCT_FIELDS = FieldSet(FIELDS, MULTI_FIELDS)
+
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 _NUMBER_WORDS = {w: i for i, w in enumerate(_ONES)} | {w: 10 * (i + 2) for i, w in enumerate(_TENS)}
@@ -167,6 +180,82 @@ def parse_unit(text: str, dims: Vector | None = None) -> Unit | None:
     return total if dims is None or total.dims == dims else None
 
 
+_POWERS = {"²": 2, "³": 3}
+_RAISED = {"square": 2, "sq": 2, "cubic": 3, "cu": 3}
+Raw = list[tuple[str, str]]
+
+
+def _factor(raw: Raw, i: int) -> tuple[list[Unit], int, int, bool]:
+    """(units that the longest run of up to three words from i on spells, power, end, is the power written out)."""
+    while i < len(raw) and raw[i][0] == "space":
+        i += 1
+    power, stated = 1, False
+    if i < len(raw) and raw[i][1].lower().rstrip(".") in _RAISED:
+        power, stated = _RAISED[raw[i][1].lower().rstrip(".")], True
+        i += 1
+    best: list[Unit] = []
+    end, name, j = i, "", i
+    for _ in range(3):
+        while j < len(raw) and (raw[j][0] == "space" or name and raw[j][1] == "."):
+            j += 1
+        if j >= len(raw) or raw[j][0] not in ("word", "sym"):
+            break
+        name = f"{name} {raw[j][1].lower().rstrip('.')}".strip()
+        j += 1
+        if name[-1] in _POWERS and (found := UNITS.get(name[:-1])):
+            return found, _POWERS[name[-1]], j, True
+        if found := UNITS.get(name) or UNITS.get(name.replace("° ", "°")):
+            best, end = found, j
+    if best and end < len(raw):
+        if raw[end][1] == "^":
+            k = end + 1
+            sign = -1 if k < len(raw) and raw[k][1] in "-−" else 1
+            k += sign < 0
+            if k < len(raw) and raw[k][1].isdigit() and len(raw[k][1]) == 1:
+                return best, sign * int(raw[k][1]), k + 1, True
+        elif not stated and raw[end][1] in ("2", "3") and raw[end][0] == "num" and raw[end - 1][0] == "word":
+            return best, int(raw[end][1]), end + 1, False
+    return best, power, end, stated
+
+
+def unit_expression(raw: Raw, i: int, dims: Vector) -> tuple[Unit | None, int, bool]:
+    """(the unit of dimension dims that tokens from i on state, its end, is it an expression of units at all).
+
+    An expression is factors with powers, joined by ``*``, ``·``, ``/`` or ``per``; a spelling
+    that several units share (m, oz) is read so that the exponent vectors add up to dims. One
+    of another dimension, as ``kg/m^2`` for a mass, is an expression without such a unit.
+    """
+    units, power, end, stated = _factor(raw, i)
+    if not units:
+        return None, i, False
+    simple_end = end if stated or power == 1 else end - 1  # before an implied power, as in m3
+    factors, composed = [(units, power)], stated
+    while True:
+        j = end
+        while j < len(raw) and raw[j][0] == "space":
+            j += 1
+        if j >= len(raw) or not (raw[j][1] in ("/", "·", "*") or raw[j][1].lower() == "per"):
+            break
+        more, p, after, _ = _factor(raw, j + 1)
+        if not more:
+            break
+        factors.append((more, -p if raw[j][1] == "/" or raw[j][1].lower() == "per" else p))
+        end, composed = after, True
+    if composed or power != 1:
+        for choice in product(*(u for u, _ in factors)):
+            if len(factors) > 1 and any(u.offset for u in choice):
+                continue
+            total = Unit(1.0, (0, 0, 0, 0))
+            for unit, (_, p) in zip(choice, factors):
+                total = total.times(unit, p)
+            if total.dims == dims:
+                return total, end, True
+        if composed:
+            return None, end, True
+    unit = next((u for u in units if u.dims == dims), None)
+    return unit, simple_end, unit is not None
+
+
 @dataclass
 class _Tok:
     kind: str
@@ -237,22 +326,12 @@ def _lex(text: str, dims: Vector, multi: bool) -> list[_Tok]:
                 value, i = value * 100, i + 2
             out.append(_Tok("num", tok, value))
         elif kind in ("word", "sym"):
-            # the longest run of up to three words that spells a unit
-            best, end = None, i
-            name, j = "", i
-            for _ in range(3):
-                while name and j < len(raw) and (raw[j][0] == "space" or raw[j][1] == "."):
-                    j += 1
-                if j >= len(raw) or raw[j][0] not in ("word", "sym"):
-                    break
-                name = f"{name} {raw[j][1].lower().rstrip('.')}".strip()
-                j += 1
-                if found := resolve(name, dims) or resolve(name.replace("° ", "°"), dims):
-                    best, end = found, j
-            glued_axis = multi and low in _AXES and dims == LENGTH
-            if best and not glued_axis:
-                # a power or quotient of the unit ("kg/m^2") isn't of the wanted dimension
-                out.append(_Tok("unit", tok, unit=best))
+            unit, end, known = unit_expression(raw, i, dims) if not (multi and low in _AXES and dims == LENGTH) else (None, i, False)
+            if unit:
+                out.append(_Tok("unit", tok, unit=unit))
+                i = end
+            elif known and out and out[-1].kind == "num":
+                out.append(_Tok("foreign", tok))
                 i = end
             else:
                 out.append(_Tok("sep" if multi and low in _SEPARATORS else "axis" if low in _AXES else "word", low))
@@ -264,6 +343,10 @@ def _lex(text: str, dims: Vector, multi: bool) -> list[_Tok]:
     return out
 
 
+# Stands for a unit of another dimension than the field's.
+_FOREIGN = Unit(0.0, (0, 0, 0, 0))
+
+
 def _measure(toks: list[_Tok], i: int) -> tuple[list[tuple[float, Unit | None]], int]:
     """One measure from token i on: ``number unit`` with smaller parts of it (6 ft 4 in, 2h18), or ``unit: number``."""
     lead = None
@@ -276,6 +359,8 @@ def _measure(toks: list[_Tok], i: int) -> tuple[list[tuple[float, Unit | None]],
             return [], i
     parts: list[tuple[float, Unit | None]] = [(toks[i].value, lead)]
     i += 1
+    if i < len(toks) and toks[i].kind == "foreign":
+        return [(parts[0][0], _FOREIGN)], i + 1
     j = i + 1 if i < len(toks) and toks[i].text in ("-", "–") else i  # 9-inch
     if lead is None and j < len(toks) and toks[j].kind == "unit":
         parts[0] = (parts[0][0], toks[j].unit)
@@ -324,15 +409,16 @@ def stated_defaults(sentence: str) -> dict[Vector, Unit]:
     return found
 
 
-def quantities(field: str, key_unit: str, text: str, defaults: str | None = None) -> list[tuple[int, int]]:
+def quantities(field: str, key_unit: str, text: str, defaults: str | None = None, fields: FieldSet = PRODUCT_FIELDS) -> list[tuple[int, int]]:
     """(idx, value) of every measure of a field's text whose unit is in the text, in the key or in the record's stated defaults.
 
     The value is in the field's canonical unit, rounded half up. A unit after the last of
     several measures counts for those before it that have none. A second statement of the
-    same quantity, in brackets or after a stroke, is left out.
+    same quantity, in brackets or after a stroke, is left out, and so is a number whose unit is
+    of another dimension.
     """
-    target = FIELDS[field]
-    multi = field in MULTI_FIELDS
+    target = fields.units[field]
+    multi = field in fields.multi
     toks = _lex(text, target.dims, multi)
     start = next((i for i, t in enumerate(toks) if t.kind == "num"), None)
     if start is None:
@@ -365,6 +451,8 @@ def quantities(field: str, key_unit: str, text: str, defaults: str | None = None
     out, later = [], None
     for idx in range(len(measures), 0, -1):
         parts = measures[idx - 1]
+        if parts[0][1] is _FOREIGN:
+            continue
         if parts[-1][1] is not None:
             later = parts[-1][1]
         if parts[0][1] is None:
@@ -378,7 +466,7 @@ def quantities(field: str, key_unit: str, text: str, defaults: str | None = None
 
 
 @lru_cache(maxsize=50_000)
-def split_key(key: str) -> tuple[str, str]:
+def split_key(key: str, fields: FieldSet = PRODUCT_FIELDS) -> tuple[str, str]:
     """(spec_field, unit) of a written key: ``Seat Width [cm]``, ``seat_width_cm`` and ``Seat Width, cm`` give (seat_width, cm)."""
     text = " ".join(key.split())
     unit = ""
@@ -391,6 +479,6 @@ def split_key(key: str) -> tuple[str, str]:
         words = name.split("_")
         for n in range(1, len(words)):  # the longest tail that is a unit of the field that remains
             head, tail = "_".join(words[:n]), " ".join(words[n:])
-            if head in FIELDS and parse_unit(tail, FIELDS[head].dims):
+            if head in fields.units and parse_unit(tail, fields.units[head].dims):
                 return head, tail
     return name, unit

@@ -117,3 +117,25 @@ def test_states(spark):
 def test_results_do_not_hang_on_partitions(spark, partitions):
     rows = spark.createDataFrame([(i % 3, i, f"https://a/{i % 4}.jpg?w={i}") for i in range(40)], "id int, pos int, url string").repartition(partitions)
     assert media.distinct_images(rows, "id").count() == 12
+
+
+def test_unit_expressions():
+    from millrace.functions.units import FieldSet, LENGTH, Unit, quantities
+
+    read = lambda field, text: [v for _, v in quantities(field, "", text)]
+    assert read("product_weight", "5 kg/m^2") == [] == read("motor_power", "3 W/kg")
+    assert read("tank_volume", "0.002 m^3") == read("tank_volume", "0.002 m³") == read("tank_volume", "2 dm3") == [2000]
+    assert read("motor_power", "40 N·m/s") == read("motor_power", "40 J per second") == [40]
+    assert read("tank_volume", "3 cubic inches") == [49] and read("battery_runtime", "2h18") == [138]
+    assert quantities("product_weight", "kg", "5 kg/m^2") == []  # the key's unit doesn't stand in for another dimension
+    own = FieldSet({"gap": Unit(1e-6, LENGTH)})
+    assert quantities("gap", "", "2 mm", fields=own) == [(1, 2000)]
+
+
+def test_common_units_of_own_fields(spark):
+    from millrace.functions.units import FieldSet, LENGTH, Unit
+    from millrace.operators.quantities import common_units
+
+    rows = spark.createDataFrame([(1, "Gap", "2 mm", None), (2, "gap", "2 kg/m", None), (3, None, "2 mm", None)], "id int, key string, value string, defaults string")
+    got = common_units(rows, ["id"], fields=FieldSet({"gap": Unit(1e-6, LENGTH)}))
+    assert [tuple(r) for r in got.collect()] == [(1, "gap", 1, 2000)]
