@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.boilerplate import all_furniture
@@ -13,6 +15,9 @@ from millrace.llm.packing import document_containers
 from millrace.llm.scans import found_flaws
 from millrace.sources.tables import table
 
+#: The vocabulary that sizes texts in the queries; the operators take it as a parameter.
+VOCABULARY = os.environ.get("MILLRACE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return product_pairs(table(spark, folder, "product_listings"))
@@ -31,15 +36,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return document_containers(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"))
+    return document_containers(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"), VOCABULARY)
 
 
 def p8_chosen(spark: SparkSession, folder: str) -> DataFrame:
-    return mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+    return mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), VOCABULARY)[0]
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), VOCABULARY)[1]
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,6 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-VOCABULARY = os.environ.get("MILLRACE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The splitting pattern that belongs to the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 _PIECE = 100_000  # characters encoded at a time; a text is cut at blanks only
@@ -25,7 +24,7 @@ def encoder(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str, path: str = VOCABULARY) -> int:
+def count_tokens(text: str, path: str) -> int:
     """Tokens of a text. A very long one is encoded in parts that meet before a blank, where the pattern parts anyway."""
     enc, total, start = encoder(path), 0, 0
     while len(text) - start > _PIECE:
@@ -39,8 +38,8 @@ def count_tokens(text: str, path: str = VOCABULARY) -> int:
     return total + len(enc.encode_ordinary(text[start:]))
 
 
-def with_tokens(documents: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """keep + tokens of every document; null and empty texts have 0."""
+def with_tokens(documents: DataFrame, keep: list[str], path: str, text: str = "text") -> DataFrame:
+    """keep + tokens of every document by the vocabulary file at path, which every executor must reach; null and empty texts have 0."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

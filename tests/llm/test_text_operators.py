@@ -10,7 +10,8 @@ from millrace.llm.canonical import BkTree, Matcher, distance, short_forms
 from millrace.llm.listings import identity, measures, product_groups, product_pairs, respelled, suffix_measure
 from millrace.llm.scans import clean_lexicon, flaws, found_flaws, label_lines, rare_meanings
 from millrace.llm.setjoin import containment_join, star_clusters
-from millrace.llm.tokens import VOCABULARY, count_tokens
+from millrace.llm.queries import VOCABULARY
+from millrace.llm.tokens import count_tokens
 
 
 # --- set join and stars
@@ -264,16 +265,17 @@ HAVE_VOCABULARY = __import__("os").path.exists(VOCABULARY)
 def test_plan_places_all(counts, capacity):
     patterns = packing.plan(counts, capacity)
     placed: dict = {}
-    for lengths, times in patterns:
-        assert sum(lengths) <= capacity and times > 0
-        for n in lengths:
+    for pieces, times in patterns:
+        assert sum(n for n, _ in pieces) <= capacity and times > 0
+        for n, window in pieces:
+            assert n <= window <= capacity
             placed[n] = placed.get(n, 0) + times
     assert placed == counts
     places = packing.Places(patterns, 4)
     used: dict = {}
     for n, c in counts.items():
         for rank in range(c):
-            container, group, place, begin = places.find(n, rank)
+            container, group, place, begin, window = places.find(n, rank)
             assert (container, place) not in used and begin + n <= capacity
             used[container, place] = (begin, n)
     for container in {c for c, _ in used}:
@@ -284,6 +286,36 @@ def test_plan_places_all(counts, capacity):
             at += n
 
 
+def test_tiers_shape_the_plan():
+    """Full windows of a shorter tier go into a container whole; without tiers the pieces mix; the fill is the same."""
+    counts = {40: 30, 16: 20, 9: 20, 7: 21, 25: 40, 64: 3, 3: 9}
+    tiered, flat = packing.plan(counts, 100, [100, 25, 6]), packing.plan(counts, 100, [100])
+    assert {p for p, _ in tiered} != {p for p, _ in flat} and {w for p, _ in flat for _, w in p} == {100}
+    windows: dict = {}
+    for pieces, times in tiered:
+        inner: dict = {}
+        for n, w in pieces:
+            inner[w] = inner.get(w, 0) + n
+        for w, total in inner.items():
+            if w < 100:
+                assert total % w == 0  # whole windows only
+                windows[w] = windows.get(w, 0) + total // w * times
+    assert windows[25] >= 30
+    assert sum(t for _, t in tiered) <= sum(t for _, t in flat) + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 100), st.integers(1, 40), min_size=1, max_size=20), st.integers(2, 9))
+def test_step_groups_cost_about_the_same(counts, group_size):
+    patterns = packing.plan(counts, 100)
+    places = packing.Places(patterns, group_size)
+    costs = [packing.container_cost(p) for p, times in sorted(patterns, key=lambda p: (-packing.container_cost(p[0]), p[0])) for _ in range(times)]
+    groups = [0] * places.groups
+    for container, c in enumerate(costs):
+        groups[places.group(container)] += c
+    assert max(groups) - min(groups) <= max(costs)
+
+
 def test_packed(spark):
     sizes = spark.createDataFrame([(i, n) for i, n in enumerate([100, 250, 64, 36, 0, 1, 63] + [40] * 50)], "doc_id long, tokens long")
     rows = packing.packed(sizes, 100).collect()
@@ -306,8 +338,8 @@ def test_tokens_of_long_texts():
     text = "Torque the bolts of the bed rail, 20 N·m – twice.\n\n  Déjà vu " * 5000
     from millrace.llm.tokens import encoder
 
-    assert count_tokens(text) == len(encoder(VOCABULARY).encode_ordinary(text))
-    assert count_tokens("") == 0
+    assert count_tokens(text, VOCABULARY) == len(encoder(VOCABULARY).encode_ordinary(text))
+    assert count_tokens("", VOCABULARY) == 0
 
 
 # --- mixing
@@ -337,16 +369,27 @@ def test_apportionment(weights, seats, caps):
 def test_mixed(spark):
     docs = [(i, "a", "word " * (5 + i % 7)) for i in range(400)] + [(1000 + i, "b", "word " * 9) for i in range(40)] + [(5000, None, "x"), (5001, "z", "x"), (5002, "a", None), (0, "a", "word " * 5)]
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 3), ("c", 0.1, 2)], "source string, target_share double, max_repeats int")
-    chosen, shares = mixing.mixed(spark.createDataFrame(docs, "doc_id long, source string, text string"), targets, block_tokens=16, shard_tokens=400)
+    chosen, shares = mixing.mixed(spark.createDataFrame(docs, "doc_id long, source string, text string"), targets, VOCABULARY, shard_tokens=400)
     rows = chosen.collect()
     assert len({r.doc_id for r in rows}) == len(rows)
     assert all(r.repeats <= (1 if r.source == "a" else 3) for r in rows)
     share = {r.source: r.actual_share for r in shares.collect()}
     assert share["c"] == 0 and abs(share["a"] - 5 / 9) < 0.03 and abs(share["b"] - 4 / 9) < 0.03
-    none, empty = mixing.mixed(spark.createDataFrame([], "doc_id long, source string, text string"), targets)
+    none, empty = mixing.mixed(spark.createDataFrame([], "doc_id long, source string, text string"), targets, VOCABULARY)
     assert none.count() == 0 and {r.tokens for r in empty.collect()} == {0}
 
 
+@pytest.mark.skipif(not HAVE_VOCABULARY or not __import__("os").path.exists("/root/testdata/sf0.01"), reason="no vocabulary file or tables")
+def test_shares_of_unequal_sources(spark):
+    """Every source with documents is within half a point of its target, the one with four documents too."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    _, shares = mixing.mixed(read("documents"), read("mix_targets"), VOCABULARY)
+    rows = shares.collect()
+    whole = sum(r.target_share for r in rows if r.documents)
+    assert sum(r.documents > 0 for r in rows) >= 8
+    assert max(abs(r.actual_share - r.target_share / whole) for r in rows if r.documents) < 0.005
+
+
 # --- encodings
 
 TEXTS = ["Prüfen Sie vor jeder Benutzung die Fußraste – höchstens 40 °C.", "N’essayez pas de démonter l’accoudoir à l’hôpital.", "Press “SET” for 3 seconds; the user’s seat is 20 × 18 in.", "Zestaw ułatwia wykonanie ćwiczeń, obciążenie części.", "A manutenção não é necessária. ATENÇÃO: FIXAÇÃO."]
