@@ -3,21 +3,25 @@
 The reference entries of each field stand in a BK-tree under the unrestricted
 Damerau-Levenshtein distance, a true metric, so the triangle inequality prunes the search
 and every entry within the threshold is found. A list within ``shard_size`` entries makes
-one tree that is broadcast; a longer one makes several shards, each value visits all of
-them, and the winners of the shards are merged.
+one tree that is broadcast; a longer one makes several shards, each distinct value visits all
+of them, and the winners of the shards are merged.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.session import spread
+
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "ß": "ss", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i"})
 
 # What sellers write around a value: legal forms, provenance and quality words. Fixed values.
@@ -152,68 +156,87 @@ def strip_wrappers(words: list[str]) -> Iterator[list[str]]:
 
 
 def threshold(word: str) -> int:
+    """How far an entry may be from a reading of so many letters."""
     return 0 if len(word) < 4 else 1 if len(word) < 6 else 2 if len(word) < 12 else 3 if len(word) < 18 else 4
 
 
+def short_threshold(word: str) -> int:
+    """The same for short forms, which are single words: two letters at most."""
+    return min(2, threshold(word))
+
+
 class FieldFacts:
-    """What is told by all entries of a field: their words, and the first words that more words follow, the longest first."""
+    """What is told by all entries of a field: their words, by first letter too, and the first words that more words follow."""
 
     def __init__(self, entries: Iterable[tuple[int, str]]):
         self.words: Counter[str] = Counter()
-        firsts: set[str] = set()
+        self.firsts: set[str] = set()
         for _, canonical in entries:
             w = fold(canonical).split()
             self.words.update(w)
             if len(w) > 1 and len(w[0]) >= 5:
-                firsts.add(w[0])
-        self.firsts = sorted(firsts, key=lambda x: (-len(x), x))
+                self.firsts.add(w[0])
+        self.by_letter: dict[str, list[str]] = {}
+        for w in self.words:
+            self.by_letter.setdefault(w[0], []).append(w)
 
 
 class Matcher:
     """The entries of one field in one shard; ``field`` has all entries of the field, if these are but a shard of them."""
 
     def __init__(self, entries: list[tuple[int, str]], short_forms: dict[str, int], field: FieldFacts | None = None):
-        self.tree = BkTree()
-        self.exact: dict[str, list[int]] = {}
-        self.raw = {i: c for i, c in entries}
-        field = field or FieldFacts(entries)
-        self.words, self.firsts = field.words, field.firsts
+        self.tree, self.short_tree = BkTree(), BkTree()
+        self.raw = {i: c.lower() for i, c in entries}
+        self.field = field or FieldFacts(entries)
+        self.words = self.field.words
+        self.written_out: dict[str, str] = {}
         for i, canonical in entries:
-            folded = fold(canonical)
-            self.exact.setdefault(folded.replace(" ", ""), []).append(i)
-            self.tree.add(folded.replace(" ", ""), i)
-        self.short_forms = short_forms
-        self.short_tree = BkTree()
+            self.tree.add(fold(canonical).replace(" ", ""), i)
         for short, i in short_forms.items():
             self.short_tree.add(short, i)
 
+    def _whole(self, w: str) -> str:
+        """The one word of the list that w shortens, else w."""
+        alike = self.field.by_letter.get(w[0], ())
+        starts = [k for k in alike if k.startswith(w) or len(w) > 3 and w[-1] == "s" and k[-1] == "s" and k.startswith(w[:-1])]
+        if not starts:
+            starts = [k for k in alike if k[-1] == w[-1] and len(w) <= 0.75 * len(k) and _shortens(w, k)]
+        if not starts:
+            starts = [k for k in alike if len(w) <= 0.6 * len(k) and _shortens(w, k)]
+        if len(starts) == 1:
+            return starts[0]
+        if len({self.words[k] for k in starts}) > 1 and sorted(self.words[k] for k in starts)[-2] == 1:
+            return max(starts, key=lambda k: (self.words[k], k))
+        return w
+
     def _expand(self, words: list[str]) -> list[str]:
         """Each word that the list doesn't know, and that shortens just one of its words, written out."""
         out = []
         for w in words:
             w = WORDS.get(w, w)
             if w not in self.words and 2 <= len(w) <= 7:
-                starts = [k for k in self.words if k.startswith(w) or len(w) > 3 and w[-1] == "s" and k[-1] == "s" and k.startswith(w[:-1])]
-                if not starts:
-                    starts = [k for k in self.words if k[0] == w[0] and k[-1] == w[-1] and len(w) <= 0.75 * len(k) and _shortens(w, k)]
-                if not starts:
-                    starts = [k for k in self.words if k[0] == w[0] and len(w) <= 0.6 * len(k) and _shortens(w, k)]
-                if len(starts) == 1:
-                    w = starts[0]
-                elif len({self.words[k] for k in starts}) > 1:
-                    w = max(starts, key=lambda k: (self.words[k], k)) if sorted(self.words[k] for k in starts)[-2] == 1 else w
+                if w not in self.written_out:
+                    if len(self.written_out) > 100_000:
+                        self.written_out.clear()
+                    self.written_out[w] = self._whole(w)
+                w = self.written_out[w]
             out.append(w)
         return out
 
+    def _head(self, w: str) -> str | None:
+        """A wrapper word, else the longest first word of the list, that w begins with and goes on from."""
+        for known in _WRAPPER_WORDS:
+            if w.startswith(known) and len(w) > len(known) + 1:
+                return known
+        return next((w[:n] for n in range(len(w) - 2, 4, -1) if w[:n] in self.field.firsts), None)
+
     def _split(self, words: list[str]) -> list[str]:
         """A word run together from a wrapper or a first word of the list and more is taken apart."""
         out = []
         for w in words:
             if w not in self.words and len(w) > 6:
-                for known in (*_WRAPPER_WORDS, *self.firsts):
-                    if w.startswith(known) and len(w) > len(known) + 1:
-                        out += [known, w[len(known) :]]
-                        break
+                if known := self._head(w):
+                    out += [known, w[len(known) :]]
                 else:
                     near = [k for k in _WRAPPER_WORDS if abs(len(k) - len(w)) < 2 and distance(w, k, 1) == 1]
                     out.append(near[0] if near else w)
@@ -245,36 +268,44 @@ class Matcher:
                                 out.append(key)
         return out
 
+    def within(self, text: str) -> dict[int, tuple[int, int, int]]:
+        """Every entry within the threshold of a reading of the text: entry to its best (kind, distance, rank), as in ranked()."""
+        low, found = text.lower().strip(), {}
+        for n, form in enumerate(self.candidates(text)):
+            for kind, tree, reach in ((0, self.tree, threshold), (1, self.short_tree, short_threshold)):
+                for d, _, ids in tree.within(form, reach(form)):
+                    for i in ids:
+                        rank = (kind + 2, d, distance(low, self.raw[i], 60)) if d else (kind, 0, n)
+                        found[i] = min(rank, found.get(i, rank))
+        return found
+
     def ranked(self, text: str) -> tuple[int, int, int, int] | None:
         """(kind, distance, rank, entry) of the closest entry, or None if none is within the threshold.
 
-        The least of several shards is that of the whole list. Kinds, the best first: an entry, a short form, an entry at a
-        distance, a short form at a distance. The rank of the first two is the reading it was found by, of the others the
-        distance with marks and blanks.
+        It is the least of within(), found with a radius that shrinks to the least distance seen.
+        The least of several shards is that of the whole list. Kinds, the best first: an entry, a
+        short form, an entry at a distance, a short form at a distance. The rank of the first two
+        is the reading it was found by, of the others the distance with marks and blanks.
         """
         if fold(text) in PLACEHOLDERS:
             return None
         forms = self.candidates(text)
-        for kind, known in enumerate((self.exact, self.short_forms)):
+        for kind, tree in enumerate((self.tree, self.short_tree)):
             for n, form in enumerate(forms):
-                if form in known:
-                    return kind, 0, n, known[form][0] if kind == 0 else known[form]
+                if same := tree.within(form, 0):
+                    return kind, 0, n, min(same[0][2])
         low = text.lower().strip()
-        for kind, (tree, cap) in enumerate(((self.tree, 4), (self.short_tree, 2)), 2):
+        for kind, (tree, reach) in enumerate(((self.tree, threshold), (self.short_tree, short_threshold)), 2):
             found: dict[int, int] = {}
-            for most in range(1, cap + 1):  # a small radius prunes most, and suits most values
-                for form in forms:
-                    if most <= threshold(form):
-                        for d, _, ids in tree.within(form, most):
-                            for i in ids:
-                                found[i] = min(d, found.get(i, d))
-                if found:
-                    break
+            least = 10**6
+            for form in forms:
+                for d, _, ids in tree.within(form, min(reach(form), least)):
+                    least = min(least, d)
+                    for i in ids:
+                        found[i] = min(d, found.get(i, d))
             if found:
                 # ties: the entry closest with its marks and blanks, then the first
-                least = min(found.values())
-                tied = [i for i, d in found.items() if d == least]
-                rank, entry = min((distance(low, self.raw[i].lower(), 60), i) for i in tied)
+                rank, entry = min((distance(low, self.raw[i], 60), i) for i, d in found.items() if d == least)
                 return kind, least, rank, entry
         return None
 
@@ -298,23 +329,23 @@ def short_forms(entries: list[tuple[int, str]]) -> dict[str, int]:
 
 
 _HIT = ("kind", "distance", "rank", "entry")
+_BUILT: dict[str, dict[str, Matcher]] = {}  # of a worker: the trees of each broadcast shard, built once
+
 
+def _searcher(sent: Broadcast) -> Callable:
+    name = uuid.uuid4().hex
 
-def _searcher(shard: dict[str, list[tuple[int, str]]], shorts: dict[str, dict[str, int]], facts: dict[str, FieldFacts]) -> Callable:
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        matchers = {f: Matcher(entries, shorts.get(f, {}), facts[f]) for f, entries in shard.items()}
+        shard, shorts, facts = sent.value
+        if name not in _BUILT:
+            _BUILT[name] = {f: Matcher(entries, shorts.get(f, {}), facts[f]) for f, entries in shard.items()}
+        matchers = _BUILT[name]
         exact = {f: {c for _, c in entries} for f, entries in shard.items()}
-        known: dict[tuple[str, str], tuple[bool, int | None, int | None, int | None, int | None]] = {}
         for fields, texts in batches:
             out = []
-            for key in zip(fields, texts):
-                if key not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    f, text = key
-                    hit = matchers[f].ranked(text) if f in matchers else None
-                    known[key] = (f in exact and text in exact[f], *(hit or (None,) * 4))
-                out.append(known[key])
+            for f, text in zip(fields, texts):
+                hit = matchers[f].ranked(text) if f in matchers else None
+                out.append((f in exact and text in exact[f], *(hit or (None,) * 4)))
             yield pd.DataFrame(out, columns=["canonical", *_HIT]).astype(dict.fromkeys(_HIT, "Int64"))
 
     return run
@@ -327,37 +358,38 @@ def map_to_list(values: DataFrame, reference: DataFrame, spec_field: str, text:
     as does every value when the list is empty. Of entries equally close the one closest with
     its marks counts, then the one with the smaller id.
 
-    Plan: narrow. The list goes to the driver in shards of at most shard_size entries; a
-    longer list makes several passes of the search over each row, whose winners are merged
-    in the row, without a shuffle. What a field's whole list tells (short forms, words, first
-    words) goes to every shard, so a shard's winner is ranked as in the whole list.
+    Plan: each distinct value is searched once and joined back, so a value that a third of the
+    rows have costs one search. The list goes out in broadcast shards of at most about
+    shard_size entries; a longer list makes several passes of the search over each distinct
+    value, whose winners are merged in the row. What a field's whole list tells (short forms,
+    words, first words) goes to every shard, so a shard's winner is ranked as in the whole list.
     """
+    spark = values.sparkSession
     listed = reference.where(F.col("canonical").isNotNull()).select("canon_id", "spec_field", "canonical").distinct()
-    count = listed.count()
-    n_shards = max(1, -(-count // shard_size))
-    numbered = listed.withColumn("_shard", F.pmod(F.xxhash64("spec_field", "canonical"), F.lit(n_shards)).cast("int"))
     # Short forms, words and first words are told by the whole list of a field, whatever shard an entry is in.
     whole: dict[str, list[tuple[int, str]]] = {}
     for r in listed.orderBy("canon_id").toLocalIterator():
         whole.setdefault(r["spec_field"], []).append((r["canon_id"], r["canonical"]))
     facts = {f: FieldFacts(entries) for f, entries in whole.items()}
     all_shorts = {f: short_forms(entries) for f, entries in whole.items()}
-    out = values
+    n_shards = max(1, -(-sum(map(len, whole.values())) // shard_size))
+    out = spread(values.select(F.col(spec_field).alias("_field"), F.coalesce(F.col(text), F.lit("")).alias("_text")).distinct())
     hits = []
     for s in range(n_shards):
-        shard: dict[str, list[tuple[int, str]]] = {}
-        for r in numbered.where(F.col("_shard") == s).orderBy("canon_id").toLocalIterator():
-            shard.setdefault(r["spec_field"], []).append((r["canon_id"], r["canonical"]))
+        shard = {f: own for f, entries in whole.items() if (own := entries[s::n_shards])}
         here = {f: {i for i, _ in entries} for f, entries in shard.items()}
         shorts = {f: {w: i for w, i in all_shorts[f].items() if i in ids} for f, ids in here.items()}
+        sent = spark.sparkContext.broadcast((shard, shorts, {f: facts[f] for f in shard}))
         # Said to be nondeterministic, so that it isn't run once for a filter and once for the result.
-        search = F.pandas_udf(_searcher(shard, shorts, {f: facts[f] for f in shard}), "struct<canonical:boolean,kind:bigint,distance:bigint,rank:bigint,entry:bigint>").asNondeterministic()
+        search = F.pandas_udf(_searcher(sent), "struct<canonical:boolean,kind:bigint,distance:bigint,rank:bigint,entry:bigint>").asNondeterministic()
         name = f"_hit{s}"
-        out = out.withColumn(name, search(F.col(spec_field), F.coalesce(F.col(text), F.lit(""))))
+        out = out.withColumn(name, search("_field", "_text"))
         hits.append(name)
     winner = F.array_min(F.filter(F.array(*(F.struct(*(F.col(f"{h}.{x}").alias(x) for x in _HIT)) for h in hits)), lambda x: x["entry"].isNotNull()))
     is_canonical = F.exists(F.array(*(F.col(f"{h}.canonical") for h in hits)), lambda x: x)
-    return out.withColumns({"is_canonical": is_canonical, "entry": F.coalesce(winner["entry"], F.lit(0)).cast("bigint")}).drop(*hits)
+    told = out.select("_field", "_text", is_canonical.alias("is_canonical"), F.coalesce(winner["entry"], F.lit(0)).cast("bigint").alias("entry"))
+    same = F.col(spec_field).eqNullSafe(F.col("_field")) & (F.coalesce(F.col(text), F.lit("")) == F.col("_text"))
+    return values.join(told, same).select(*(values[c] for c in values.columns), "is_canonical", "entry")
 
 
 FIELDS = ("manufacturer", "origin", "material")

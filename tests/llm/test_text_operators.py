@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 
 from millrace.llm import canonical, encoding, mixing, packing
 from millrace.llm.boilerplate import Classifier, all_furniture, furniture, main_bodies
-from millrace.llm.canonical import BkTree, Matcher, distance, short_forms
+from millrace.llm.canonical import BkTree, Matcher, distance, short_forms, threshold
 from millrace.llm.listings import identity, measures, product_groups, product_pairs, respelled, suffix_measure
 from millrace.llm.scans import clean_lexicon, flaws, found_flaws, label_lines, rare_meanings
 from millrace.llm.setjoin import containment_join, star_clusters
@@ -151,6 +151,20 @@ def test_match(text, entry):
     assert (got and got[1]) == entry
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.sampled_from([c for _, c in ENTRIES]), st.integers(0, 30), st.sampled_from("abeilrst "))
+def test_closest_is_the_least_within_the_threshold(name, at, letter):
+    matcher = Matcher(ENTRIES, short_forms(ENTRIES))
+    text = name[:at] + letter + name[at + 1 :]
+    every = matcher.within(text)
+    for form in matcher.candidates(text):  # every entry within the threshold of a reading is there
+        for i, c in ENTRIES:
+            far = threshold(form)
+            assert distance(form, canonical.fold(c).replace(" ", ""), far) > far or i in every
+    hit = matcher.ranked(text)
+    assert (hit is None) == (not every) and (hit is None or hit == min((*rank, i) for i, rank in every.items()))
+
+
 def test_map_to_list_shards_agree(spark):
     values = spark.createDataFrame([("f", "Stainles Steel", 5), ("f", "Carbon Fiber", 6), ("f", None, 7), ("g", "Stainless Steel", 8), ("f", "x" * 20_000, 9)], "spec_field string, value string, entry_no int")
     reference = spark.createDataFrame([(i, "f", c) for i, c in ENTRIES], "canon_id long, spec_field string, canonical string")
