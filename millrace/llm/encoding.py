@@ -226,42 +226,53 @@ def apply_operation(text: str, operation: tuple[str, str]) -> str | None:
     return undo_utf8(text, wrong) if right == "utf-8" else undo_single(text, wrong, right)
 
 
-def search(text: str, first: tuple = (), depth: int = 4) -> tuple[str, float, tuple]:
+def price(steps: int) -> float:
+    """Price of so many operations: each costs twice the one before, as text is seldom damaged often."""
+    return STEP * (2**steps - 1)
+
+
+def search(text: str, first: tuple = ()) -> tuple[str, float, tuple]:
     """The cheapest text reachable, its cost and the operations that lead to it.
 
     ``first`` names chains of operations that served elsewhere in the document; they are
-    tried at half the price.
+    tried at half the price of one. The search ends when no open state can lead to a cheaper
+    text, as the next operation alone costs more: it leaves nothing out.
     """
     start = cost(text)
-    best = (start, 0, text, ())
-    seen = {hash(text)}
-    queue = [(start, 0, text, ())]
+    best = (start, text, ())
     for chain in first:
-        state: str | None = text
-        for op in chain:
-            state = apply_operation(state, op) if state is not None else None
+        state = follow(text, chain)
         if state is not None and state != text:
             c = cost(state)
             if c + STEP / 2 < best[0]:
-                best = (c + STEP / 2, len(queue), state, chain)
+                best = (c + STEP / 2, state, chain)
+    seen = {hash(text)}
+    queue: list[tuple[float, int, str, tuple]] = [(start, 0, text, ())]
     order = 1
     while queue:
-        price, _, state, path = heapq.heappop(queue)
-        if len(path) >= depth or len(path) * STEP >= best[0]:
+        _, _, state, path = heapq.heappop(queue)
+        paid = price(len(path) + 1)
+        if paid >= best[0]:
             continue
         for op in OPERATIONS:
             nxt = apply_operation(state, op)
             if nxt is None or (h := hash(nxt)) in seen:
                 continue
             seen.add(h)
-            c = cost(nxt)
-            total = c + STEP * (len(path) + 1)
+            total = cost(nxt) + paid
             if total < best[0] - 1e-9:
-                best = (total, order, nxt, (*path, op))
-            if c < cost(state) * 1.5 + 1:  # a step that makes the text much worse leads nowhere
-                heapq.heappush(queue, (total, order, nxt, (*path, op)))
-                order += 1
-    return best[2], cost(best[2]), best[3]
+                best = (total, nxt, (*path, op))
+            heapq.heappush(queue, (total, order, nxt, (*path, op)))
+            order += 1
+    return best[1], cost(best[1]), best[2]
+
+
+def follow(text: str, chain: tuple) -> str | None:
+    """The text after a chain of operations; None if one of them doesn't apply."""
+    state: str | None = text
+    for op in chain:
+        state = apply_operation(state, op) if state is not None else None
+    return state
 
 
 def restore(text: str) -> tuple[bool, str | None]:
@@ -299,9 +310,7 @@ def restore(text: str) -> tuple[bool, str | None]:
 def search_known(piece: str, ways: list[tuple]) -> str:
     """piece after the first of the given ways that applies to it and leaves it no less plausible; else piece."""
     for way in ways:
-        state: str | None = piece
-        for op in way:
-            state = apply_operation(state, op) if state is not None else None
+        state = follow(piece, way)
         if state is not None and state != piece and cost(state) <= cost(piece):
             return state
     return piece
