@@ -84,8 +84,12 @@ def _features(lines: list[str], shares: dict[str, float], near_equal: bool = Tru
     keys = [line_key(x) if f not in ("blank", "page", "text", "sentence") else "" for x, f in zip(lines, forms)]
     # equal lines but for a slip or two count together
     alike: dict[str, str] = {}
+    heads: dict[int, list[str]] = defaultdict(list)  # by length, the most frequent first
     for k, _ in sorted(Counter(k for k in keys if k).items(), key=lambda x: (-x[1], x[0])) if near_equal else ():
-        alike[k] = next((h for h in set(alike.values()) if len(k) >= 10 and abs(len(k) - len(h)) < 3 and distance(k, h, 2) <= 2), k)
+        near = (h for n in range(len(k) - 2, len(k) + 3) for h in heads.get(n, ()) if distance(k, h, 2) <= 2) if len(k) >= 10 else ()
+        alike[k] = next(iter(near), k)
+        if alike[k] == k:
+            heads[len(k)].append(k)
     keys = [alike.get(k, k) for k in keys]
     repeats = Counter(k for k in keys if k)
     filled = [i for i, f in enumerate(forms) if f != "blank"]
@@ -199,6 +203,7 @@ class Reader:
 
     def __init__(self, words: dict[str, float]):
         self.words = words
+        self.longest = max(map(len, words), default=0)
         self.memo: dict[str, str | None] = {}
 
     def meant(self, raw: str) -> str | None:
@@ -243,7 +248,8 @@ class Reader:
         if word == "l" or word == "|":
             return None
         best: tuple[float, str] | None = None
-        seen, layer = {word}, [word]
+        # Two confusions shorten a word by two letters at most: what is longer stands for no known word.
+        seen, layer = {word}, [word] if len(word) <= self.longest + 2 else []
         for _ in range(2):
             nxt = []
             for w in layer:
@@ -251,7 +257,7 @@ class Reader:
                     i = w.find(read)
                     while i >= 0:
                         v = w[:i] + meant + w[i + len(read) :]
-                        if v not in seen and len(seen) < 4000:
+                        if v not in seen:
                             seen.add(v)
                             nxt.append(v)
                             share = self.words.get(v)
