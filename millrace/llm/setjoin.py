@@ -31,9 +31,10 @@ def containment_join(sets: DataFrame, threshold: float, id_: str = "id", tokens:
         .withColumn("whole", _sum(F.transform("t", lambda x: x["weight"])))
         .where("whole > 0")
     )
-    # rest: the weight from this token on, itself included
+    ordered = cut(ordered)
+    # rest: the weight from this token on, itself included. Only these numbers meet on a token, not the sets.
     placed = ordered.select("id", "t", "whole", F.posexplode("t").alias("pos", "x")).select(
-        "id", "t", "whole", F.col("x.token").alias("token"), F.col("x.weight").alias("weight"), _sum(F.transform(F.slice("t", F.col("pos") + 1, F.size("t")), lambda y: y["weight"])).alias("rest")
+        "id", "whole", F.col("x.token").alias("token"), _sum(F.transform(F.slice("t", F.col("pos") + 1, F.size("t")), lambda y: y["weight"])).alias("rest")
     )
     probe = placed.where(F.col("rest") >= F.col("whole") * threshold - 1e-9)
     a, b = probe.alias("a"), placed.alias("b")
@@ -44,8 +45,11 @@ def containment_join(sets: DataFrame, threshold: float, id_: str = "id", tokens:
         & (F.col("a.id") != F.col("b.id"))
         & (F.least(F.col("a.rest"), F.col("b.rest")) >= F.col("a.whole") * threshold - 1e-9),
     )
-    common = _sum(F.transform(F.array_intersect(F.col("a.t"), F.col("b.t")), lambda x: x["weight"]))
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (common / F.col("a.whole")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9).distinct()
+    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    left, right = ordered.select(F.col("id").alias("a"), F.col("t").alias("_a"), "whole"), ordered.select(F.col("id").alias("b"), F.col("t").alias("_b"))
+    common = _sum(F.transform(F.array_intersect("_a", "_b"), lambda x: x["weight"]))
+    verified = pairs.join(left, "a").join(right, "b").select("a", "b", (common / F.col("whole")).alias("similarity"))
+    return verified.where(F.col("similarity") >= threshold - 1e-9)
 
 
 def star_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
