@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -12,8 +13,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 CHROME = frozenset({"nav", "header", "footer", "aside"})
+# Elements that only hold others: their text is that of the elements inside, so it is kept only where they are named.
+CONTAINERS = frozenset("html head body div section main article nav header footer aside form table thead tbody tfoot ul ol dl select".split())
+# Words of classes and ids around lists of other products.
+OTHER_PRODUCTS = re.compile("(?i)related|recommend|upsell|cross-sell|also-(?:viewed|bought|like)|similar|recently")
 
-_NODES = "array<struct<ord:int,parent:int,last:int,depth:int,tag:string,element_id:string,classes:array<string>,attrs:map<string,string>,own_text:string,in_chrome:boolean>>"
+_NODES = "array<struct<ord:int,parent:int,last:int,depth:int,tag:string,element_id:string,classes:array<string>,attrs:map<string,string>,text:string,in_chrome:boolean,in_other:boolean,in_main:boolean>>"
 
 
 class _Builder(HTMLParser):
@@ -23,10 +28,12 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.texts: list[str] = []  # in the order of the page; an element's are those from its begin to its end
 
     def _close_to(self, k: int) -> None:
         for i in self.open[k:]:
             self.nodes[i]["last"] = len(self.nodes) - 1
+            self.nodes[i]["end"] = len(self.texts)
         del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -41,7 +48,14 @@ class _Builder(HTMLParser):
                     break
         parent = self.open[-1] if self.open else None
         known = {k: v or "" for k, v in attrs}
-        self.nodes.append({"ord": len(self.nodes), "parent": parent, "last": len(self.nodes), "depth": len(self.open), "tag": tag, "element_id": known.get("id"), "classes": known.get("class", "").split(), "attrs": known, "own_text": "", "in_chrome": tag in CHROME or (parent is not None and self.nodes[parent]["in_chrome"])})
+        up = self.nodes[parent] if parent is not None else {}
+        classes = known.get("class", "").split()
+        self.nodes.append(
+            {
+                "ord": len(self.nodes), "parent": parent, "last": len(self.nodes), "depth": len(self.open), "tag": tag, "element_id": known.get("id"), "classes": classes, "attrs": known, "begin": len(self.texts), "end": len(self.texts),
+                "in_chrome": tag in CHROME or up.get("in_chrome", False), "in_main": tag in ("main", "article") or up.get("in_main", False), "in_other": up.get("in_other", False) or bool(OTHER_PRODUCTS.search(" ".join([*classes, known.get("id", "")]))),
+            }
+        )
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
@@ -57,9 +71,14 @@ class _Builder(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.open and data.strip():
-            node = self.nodes[self.open[-1]]
-            node["own_text"] = f"{node['own_text']} {' '.join(data.split())}".strip()
+        self.texts.append(data)
+
+    def text(self, node: dict) -> str:
+        """All text of an element in the order of the page, white space being one blank."""
+        return " ".join("".join(self.texts[node["begin"] : node["end"]]).split())
+
+    def below(self, node: dict, *tags: str) -> list[dict]:
+        return [n for n in self.nodes[node["ord"] + 1 : node["last"] + 1] if n["tag"] in tags]
 
 
 def parse_nodes(html: str) -> list[dict]:
@@ -67,7 +86,10 @@ def parse_nodes(html: str) -> list[dict]:
     builder.feed(html)
     builder.close()
     builder._close_to(0)
-    return builder.nodes
+    for node in builder.nodes:
+        named = node["tag"] not in CONTAINERS or node["element_id"] or "itemprop" in node["attrs"] or "property" in node["attrs"]
+        node["text"] = builder.text(node) if named else ""
+    return [{k: v for k, v in node.items() if k not in ("begin", "end")} for node in builder.nodes]
 
 
 def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -76,21 +98,20 @@ def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def page_nodes(pages: DataFrame, key: str, html: str, most_bytes: int = 3_000_000) -> DataFrame:
-    """(key, ord, parent, last, depth, tag, element_id, classes, attrs, own_text, in_chrome) of every element of every page.
+    """(key, ord, parent, last, depth, tag, element_id, classes, attrs, text, in_chrome, in_other, in_main) of every element of every page.
 
-    The text of a subtree is the own_text of the rows ord..last in order. Null and empty pages
-    have no elements. Pages beyond most_bytes are the feature's own limit; they have none.
+    text is all text of an element, '' for containers without an id or a property. Null and
+    empty pages have no elements. Pages beyond most_bytes are the feature's own limit; they
+    have none. Plan: one Arrow UDF, said to be nondeterministic so that no page is parsed twice
+    in one reading; persist or cut the result where it is read several times.
     """
     rows = pages.where(F.col(html).isNotNull() & (F.octet_length(html) <= most_bytes))
-    return rows.select(key, F.inline(F.pandas_udf(_parse, _NODES)(html)))
+    return rows.select(key, F.pandas_udf(_parse, _NODES).asNondeterministic()(html).alias("_n")).select(key, F.inline("_n"))
 
 
 def subtree_texts(nodes: DataFrame, key: str, roots: Column) -> DataFrame:
-    """(key, ord, text) of every element that ``roots`` selects, with all text below it."""
-    top = nodes.where(roots).select(key, F.col("ord").alias("_root"), F.col("last").alias("_last"))
-    inner = nodes.where("own_text <> ''").select(key, F.col("ord").alias("_ord"), "own_text")
-    met = top.join(inner, key).where((F.col("_ord") >= F.col("_root")) & (F.col("_ord") <= F.col("_last")))
-    return met.groupBy(key, F.col("_root").alias("ord")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_ord", "own_text"))), lambda x: x["own_text"]), " ").alias("text"))
+    """(key, ord, text) of every element that ``roots`` selects and that has text."""
+    return nodes.where(roots & (F.col("text") != "")).select(key, "ord", "text")
 
 
 # Words in tab titles and the bucket they tell.

@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.functions import specs as S, text as T
 from millrace.operators import media
-from millrace.operators.pages import subtree_texts
 
-# Words of classes and ids around lists of other products, and words of part tables and of legal cells.
-OTHER_PRODUCTS = "related|recommend|upsell|cross-sell|also-(?:viewed|bought|like)|similar|recently"
+# Words of part tables and of legal cells.
 PART_HEADS = r"(?i)^(?:no\.?|part(?: (?:no\.?|number|#))?|item(?: (?:no\.?|#))?|qty|quantity|price)$"
 LEGAL = r"(?i)privacy|terms|cookie|shipping|returns|login|support|about us|copyright"
 IMAGE_REJECT = r"(?i)swatch|logo|favicon|brandmark|badge|trust|payment|visa|mastercard|paypal|icon|sprite|placeholder|banner|hero"
@@ -23,38 +21,25 @@ def attr(name: str) -> Column:
     return F.try_element_at("attrs", F.lit(name))
 
 
-def with_flags(nodes: DataFrame, key: str) -> DataFrame:
-    """nodes + (in_other, in_main): inside a list of other products; inside main or article.
-
-    An element is inside another if its ord lies in that one's span, so the flags come from
-    one join with the few elements that open such a span.
-    """
-    marked = F.concat_ws(" ", F.array_join("classes", " "), F.col("element_id"))
-    spans = nodes.where(marked.rlike(f"(?i){OTHER_PRODUCTS}") | F.col("tag").isin("main", "article")).select(key, F.col("ord").alias("_from"), F.col("last").alias("_to"), F.col("tag").isin("main", "article").alias("_main"))
-    inside = nodes.select(key, "ord").join(spans, key).where(F.col("ord").between(F.col("_from"), F.col("_to")))
-    flags = inside.groupBy(key, "ord").agg(F.max(F.when(~F.col("_main"), True)).alias("in_other"), F.max(F.when(F.col("_main"), True)).alias("in_main"))
-    return nodes.join(flags, [key, "ord"], "left").fillna(False, ["in_other", "in_main"])
-
-
 def page_facts(nodes: DataFrame, key: str) -> DataFrame:
     """(key, title, heading, og_title, description, canonical, paragraph): the page's own statements and its longest paragraph outside the chrome."""
     meta = F.coalesce(attr("property"), attr("name"))
+    paragraph = (F.col("tag") == "p") & ~F.col("in_chrome") & (F.col("text") != "")
     first = lambda test, value, name: F.min_by(F.when(test, value), F.when(test, F.col("ord"))).alias(name)
     facts = nodes.groupBy(key).agg(
-        first(F.col("tag") == "title", F.col("own_text"), "title"),
+        first(F.col("tag") == "title", F.col("text"), "title"),
         first(meta == "og:title", attr("content"), "og_title"),
         first(meta.isin("description", "og:description"), attr("content"), "description"),
         first((F.col("tag") == "link") & (attr("rel") == "canonical"), attr("href"), "canonical"),
+        first((F.col("tag") == "h1") & ~F.col("in_chrome") & (F.col("text") != ""), F.col("text"), "heading"),
+        F.max_by(F.when(paragraph, F.col("text")), F.when(paragraph, F.struct(F.length("text"), -F.col("ord")))).alias("paragraph"),
     )
-    texts = subtree_texts(nodes, key, F.col("tag").isin("h1", "p") & ~F.col("in_chrome")).join(nodes.select(key, "ord", "tag"), [key, "ord"])
-    told = texts.groupBy(key).agg(F.min_by(F.when(F.col("tag") == "h1", F.col("text")), F.when(F.col("tag") == "h1", F.col("ord"))).alias("heading"), F.max_by(F.when(F.col("tag") == "p", F.col("text")), F.when(F.col("tag") == "p", F.struct(F.length("text"), -F.col("ord")))).alias("paragraph"))
-    return facts.join(told, key, "left")
+    return facts
 
 
 def links(nodes: DataFrame, key: str, base: DataFrame | None = None, url: str = "url") -> DataFrame:
     """(key, ord, href, text) of the links, against the page's URL if ``base`` (key, url) is given."""
-    texts = subtree_texts(nodes, key, F.col("tag") == "a")
-    found = nodes.where((F.col("tag") == "a") & (F.coalesce(attr("href"), F.lit("")) != "")).select(key, "ord", attr("href").alias("href")).join(texts, [key, "ord"], "left")
+    found = nodes.where((F.col("tag") == "a") & (F.coalesce(attr("href"), F.lit("")) != "")).select(key, "ord", attr("href").alias("href"), F.nullif("text", F.lit("")).alias("text"))
     return found if base is None else found.join(base.select(key, F.col(url).alias("_b")), key).withColumn("href", T.absolute(F.col("_b"), F.col("href"))).drop("_b")
 
 
@@ -64,7 +49,7 @@ def spec_pairs(nodes: DataFrame, key: str) -> DataFrame:
     Cells longer than 80 and 400 characters and those of legal text are no pairs, by the
     operator's definition.
     """
-    texts = subtree_texts(nodes, key, F.col("tag").isin("td", "th", "dt", "dd", "li", "p")).join(nodes.select(key, "ord", "tag", "parent"), [key, "ord"])
+    texts = nodes.where(F.col("tag").isin("td", "th", "dt", "dd", "li", "p") & (F.col("text") != "")).select(key, "ord", "text", "tag", "parent")
     of_row = W.partitionBy(key, "parent").orderBy("ord")
     cells = texts.where(F.col("tag").isin("td", "th")).withColumns({"n": F.row_number().over(of_row), "value": F.lead("text").over(of_row), "all": F.count("*").over(W.partitionBy(key, "parent"))})
     table = cells.where("n = 1 and all = 2").select(key, "ord", F.lit("table").alias("channel"), F.col("text").alias("name"), "value")
@@ -86,7 +71,7 @@ def spec_map(pairs: DataFrame, key: str, first: bool = True) -> DataFrame:
 def part_tables(nodes: DataFrame, key: str) -> DataFrame:
     """(key, ord) of tables of parts: heads such as No., Part, Qty, or at least three rows with two that begin with a number and two links."""
     tables = nodes.where("tag = 'table'").select(key, F.col("ord").alias("_t"), F.col("last").alias("_to"))
-    inner = subtree_texts(nodes, key, F.col("tag").isin("th", "td", "tr", "a")).join(nodes.select(key, "ord", "tag", "parent"), [key, "ord"])
+    inner = nodes.where(F.col("tag").isin("th", "td", "tr", "a") & (F.col("text") != "")).select(key, "ord", "text", "tag", "parent")
     first_cell = F.row_number().over(W.partitionBy(key, "parent").orderBy("ord")) == 1
     rows = inner.withColumn("_first", first_cell).join(tables, key).where(F.col("ord").between(F.col("_t"), F.col("_to")))
     n = lambda test: F.sum(F.when(test, 1).otherwise(0))
@@ -96,8 +81,8 @@ def part_tables(nodes: DataFrame, key: str) -> DataFrame:
 
 def json_ld(nodes: DataFrame, key: str) -> DataFrame:
     """(key, ord, node) of the JSON-LD nodes of each page as VARIANT, lists and graphs opened; unreadable scripts have none."""
-    scripts = nodes.where((F.col("tag") == "script") & (F.lower(attr("type")) == "application/ld+json") & F.contains("own_text", F.lit("{")))
-    doc = scripts.select(key, "ord", F.try_parse_json("own_text").alias("d")).where("d is not null")
+    scripts = nodes.where((F.col("tag") == "script") & (F.lower(attr("type")) == "application/ld+json") & F.contains("text", F.lit("{")))
+    doc = scripts.select(key, "ord", F.try_parse_json("text").alias("d")).where("d is not null")
     many = F.coalesce(F.try_variant_get("d", "$", "array<variant>"), F.try_variant_get("d", "$.@graph", "array<variant>"), F.array("d"))
     return doc.select(key, "ord", F.posexplode(many).alias("pos", "node"))
 
@@ -118,8 +103,7 @@ def json_ld_product(nodes: DataFrame, key: str) -> DataFrame:
 
 def item_properties(nodes: DataFrame, key: str, scope: str = "itemscope", name: str = "itemprop") -> DataFrame:
     """(key, property, values): microdata, or RDFa with scope ``typeof`` and name ``property``; content before text."""
-    texts = subtree_texts(nodes, key, attr(name).isNotNull())
-    rows = nodes.where(attr(name).isNotNull()).select(key, "ord", attr(name).alias("property"), F.coalesce(attr("content"), attr("href"), attr("src")).alias("v")).join(texts, [key, "ord"], "left")
+    rows = nodes.where(attr(name).isNotNull()).select(key, "ord", attr(name).alias("property"), F.coalesce(attr("content"), attr("href"), attr("src")).alias("v"), F.nullif("text", F.lit("")).alias("text"))
     held = nodes.where(F.map_contains_key("attrs", scope)).groupBy(key).agg(F.min("ord").alias("_s"))
     return rows.join(held, key).where("ord > _s").groupBy(key, "property").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.coalesce("v", "text").alias("t")))), lambda x: x["t"]).alias("values"))
 
@@ -127,12 +111,10 @@ def item_properties(nodes: DataFrame, key: str, scope: str = "itemscope", name:
 def tabs(nodes: DataFrame, key: str) -> DataFrame:
     """(key, ord, title, text): panels that a link or button names by href, aria-controls or data-target, with their text."""
     target = F.coalesce(F.nullif(F.regexp_extract(F.coalesce(attr("href"), F.lit("")), "^#(.+)$", 1), F.lit("")), F.nullif(attr("aria-controls"), F.lit("")), F.nullif(F.regexp_extract(F.coalesce(attr("data-target"), F.lit("")), "^#(.+)$", 1), F.lit("")))
-    heads = nodes.where(F.col("tag").isin("a", "button", "li") & target.isNotNull()).select(key, F.col("ord").alias("_h"), target.alias("element_id"))
-    titles = subtree_texts(nodes, key, F.col("tag").isin("a", "button", "li") & target.isNotNull()).select(key, F.col("ord").alias("_h"), F.col("text").alias("title"))
-    named = heads.join(titles, [key, "_h"]).groupBy(key, "element_id").agg(F.min_by("title", "_h").alias("title"))
-    panels = nodes.where("element_id is not null").select(key, "ord", "element_id")
-    texts = subtree_texts(nodes, key, F.col("element_id").isNotNull())
-    return panels.join(named, [key, "element_id"]).join(texts, [key, "ord"], "left").select(key, "ord", "title", F.coalesce("text", F.lit("")).alias("text"))
+    heads = nodes.where(F.col("tag").isin("a", "button", "li") & target.isNotNull() & (F.col("text") != ""))
+    named = heads.groupBy(key, target.alias("element_id")).agg(F.min_by("text", "ord").alias("title"))
+    panels = nodes.where("element_id is not null").select(key, "ord", "element_id", "text")
+    return panels.join(named, [key, "element_id"]).select(key, "ord", "title", "text")
 
 
 def images(nodes: DataFrame, key: str, base: DataFrame, url: str = "url", least_side: int = 0) -> DataFrame:
@@ -142,10 +124,9 @@ def images(nodes: DataFrame, key: str, base: DataFrame, url: str = "url", least_
     their set, and links to image files, with weights 8, 3 and 2; one inside the chrome or a
     list of other products, or with words of swatches, logos and the like, is none.
     """
-    flagged = with_flags(nodes, key)
-    stated = flagged.where(F.coalesce(attr("property"), F.lit("")) == "og:image").select(key, "ord", attr("content").alias("u"), F.lit(8).alias("w"), F.lit(True).alias("main"))
-    shown = flagged.where((F.col("tag") == "img") & ~F.col("in_chrome") & ~F.col("in_other")).select(key, "ord", F.coalesce(media.largest_source(attr("srcset")), attr("data-src"), attr("src")).alias("u"), F.lit(3).alias("w"), F.col("in_main").alias("main"))
-    linked = flagged.where((F.col("tag") == "a") & attr("href").rlike(r"(?i)\.(?:jpe?g|png|webp)(?:$|[?#])") & ~F.col("in_chrome") & ~F.col("in_other")).select(key, "ord", attr("href").alias("u"), F.lit(2).alias("w"), F.col("in_main").alias("main"))
+    stated = nodes.where(F.coalesce(attr("property"), F.lit("")) == "og:image").select(key, "ord", attr("content").alias("u"), F.lit(8).alias("w"), F.lit(True).alias("main"))
+    shown = nodes.where((F.col("tag") == "img") & ~F.col("in_chrome") & ~F.col("in_other")).select(key, "ord", F.coalesce(media.largest_source(attr("srcset")), attr("data-src"), attr("src")).alias("u"), F.lit(3).alias("w"), F.col("in_main").alias("main"))
+    linked = nodes.where((F.col("tag") == "a") & attr("href").rlike(r"(?i)\.(?:jpe?g|png|webp)(?:$|[?#])") & ~F.col("in_chrome") & ~F.col("in_other")).select(key, "ord", attr("href").alias("u"), F.lit(2).alias("w"), F.col("in_main").alias("main"))
     rows = stated.union(shown).union(linked).where(F.coalesce(F.col("u"), F.lit("")) != "").join(base.select(key, F.col(url).alias("_b")), key).withColumn("u", T.absolute(F.col("_b"), F.col("u")))
     size = media.declared_size(F.col("u"))
     good = rows.where(~F.col("u").rlike(IMAGE_REJECT) & ((size == 0) | (size >= least_side)))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from millrace.functions import lines as L, markdown, specs as S, text as T
 from millrace.operators import audit, media, pages, projection, quality, records as R, resolve, variants
 from millrace.plans import ingest
+from millrace.plans.latest import LATEST, latest_records
 from millrace.sources.tables import table
 from millrace.streaming import queue
 
@@ -136,12 +137,12 @@ def line_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # Distinct lists of features with a number each, and their lines.
-_FEATURES = f"WITH r AS (SELECT record_id, features_raw AS f FROM product_records WHERE len(features_raw) > 0), d AS (SELECT record_id, any_value(f) AS f FROM r GROUP BY 1), l AS (SELECT record_id, unnest(f) AS raw, generate_subscripts(f, 1) AS pos FROM d)"
+_FEATURES = f"WITH r AS (SELECT record_id, r.f AS f FROM ({LATEST}) WHERE len(r.f) > 0), d AS (SELECT record_id, f FROM r), l AS (SELECT record_id, unnest(f) AS raw, generate_subscripts(f, 1) AS pos FROM d)"
 
 
 def _feature_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """One list of features for each record; re-delivered records carry the same."""
-    return table(spark, folder, "product_records").where(F.size("features_raw") > 0).groupBy("record_id").agg(F.any_value("features_raw").alias("f"))
+    """The list of features of each record's last delivery."""
+    return latest_records(spark, folder).where(F.size("f") > 0).select("record_id", "f")
 
 
 @query(
@@ -154,15 +155,38 @@ def fragment_merge(spark: SparkSession, folder: str) -> DataFrame:
     return lists.select("record_id", (F.col("p") + 1).cast("bigint").alias("line_no"), "line")
 
 
-@query()
+_BARE = _strip("regexp_replace(x, '^[-–—]+\\s*', '')")
+
+
+@query(
+    f"""{_FEATURES}, s AS (SELECT record_id, pos, {_strip("coalesce(raw, '')")} AS x FROM l), b AS (SELECT record_id, pos, x, {_BARE} AS bare FROM s WHERE x <> ''), p AS (SELECT *, lag(bare) OVER (PARTITION BY record_id ORDER BY pos) AS before FROM b),
+    i AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND (regexp_matches(x, '^[-–—]') OR regexp_matches(before, '(?:[,;:]|(?:^|\\s)(?i:and|or))$')) THEN 0 ELSE 1 END) OVER (PARTITION BY record_id ORDER BY pos) AS island FROM p)
+    SELECT record_id, island::BIGINT AS line_no, string_agg(bare, ' ' ORDER BY pos) AS line FROM i GROUP BY 1, 2"""
+)
 def compiled_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Feature lines joined at dashes and open ends; tested against a loop."""
-    return _feature_lists(spark, folder).select("record_id", L.compiled_features(F.col("f")).alias("features"))
+    """Feature lines joined at dashes and open ends."""
+    lists = _feature_lists(spark, folder).select("record_id", F.posexplode(L.compiled_features(F.col("f"))).alias("p", "line"))
+    return lists.select("record_id", (F.col("p") + 1).cast("bigint").alias("line_no"), "line")
 
 
-@query()
+@query(
+    f"""{_FEATURES}, s AS (SELECT record_id, pos, raw, {_strip('raw')} AS x FROM l WHERE raw IS NOT NULL),
+    e AS (SELECT * FROM s WHERE length(x) > 0 AND NOT regexp_matches(lower(x), '[{L.MARKED_LETTERS}]') AND 10 * length(regexp_replace(x, '[^\\x20-\\x7e]', '', 'g')) >= 7 * length(x) AND NOT regexp_matches(x, '[\\\\/]') AND NOT regexp_matches(lower(x), 'español|français')
+      AND lower(x) NOT IN ({', '.join(f"'{w}'" for w in L.SECTION_LABELS)}) AND NOT regexp_matches(lower(x), '{L.INSTRUCTION_WORDS}') AND length(raw) <= 150 AND NOT contains(raw, chr(10))),
+    u AS (SELECT record_id, lower(x) AS low, min(pos) AS pos, arg_min(x, pos) AS x FROM e GROUP BY 1, 2), p AS (SELECT *, lag(x) OVER (PARTITION BY record_id ORDER BY pos) AS before FROM u),
+    b AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND (regexp_matches(x, '^(?:{L.JOINING_WORDS})(?:[^A-Za-z0-9_]|$)') OR (regexp_matches(x, '^[a-z]') AND NOT regexp_matches(before, '[.!?]$'))) THEN 0 ELSE 1 END) OVER (PARTITION BY record_id ORDER BY pos) AS island FROM p),
+    j AS (SELECT record_id, island, string_agg(x, ' ' ORDER BY pos) AS line FROM b GROUP BY 1, 2)
+    SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY island)::BIGINT AS line_no, line FROM j WHERE NOT regexp_matches(lower(line), '{L.SPEC_LIKE_STARTS}') AND NOT contains(line, ':')"""
+)
 def cleaned_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Features after all line rules: English, no shop labels, no instructions, fragments joined, near-repeats left out."""
+    """Features after the line rules: English, no shop labels, no instructions, each once, fragments joined, no spec lines."""
+    lists = _feature_lists(spark, folder).select("record_id", F.posexplode(L.clean_features(F.filter("f", lambda x: x.isNotNull() & L.feature_kept(x)))).alias("p", "line"))
+    return lists.select("record_id", (F.col("p") + 1).cast("bigint").alias("line_no"), "line")
+
+
+@query()
+def distinct_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Those without near-repeats; the greedy choice is tested against a loop."""
     kept = F.filter("f", lambda x: x.isNotNull() & L.feature_kept(x))
     return _feature_lists(spark, folder).select("record_id", L.without_similar(L.clean_features(kept)).alias("features"))
 
@@ -175,19 +199,15 @@ def navigation_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH l AS (SELECT DISTINCT page_id, unnest(string_split(visible_text, chr(10))) AS raw, generate_subscripts(string_split(visible_text, chr(10)), 1) AS pos FROM (SELECT DISTINCT page_id, visible_text FROM browse_pages)),
-    s AS (SELECT page_id, pos, {_strip('raw')} AS x FROM l), b AS (SELECT page_id, min(pos) AS begin FROM s WHERE lower(x) = 'specifications' GROUP BY 1), e AS (SELECT s.page_id, min(pos) AS stop FROM s JOIN b USING (page_id) WHERE pos > begin AND lower(x) = 'follow us' GROUP BY 1)
-    SELECT s.page_id, s.pos::BIGINT AS pos, {_strip("regexp_replace(x, '^[-•' || chr(92) || 's]+', '')")} AS line FROM s JOIN b USING (page_id) LEFT JOIN e USING (page_id) WHERE pos > begin AND (stop IS NULL OR pos < stop) AND x <> '' AND lower(x) <> 'specifications' AND {_strip("regexp_replace(x, '^[-•' || chr(92) || 's]+', '')")} <> ''"""
+    s AS (SELECT page_id, pos, {_strip('raw')} AS x FROM l), b AS (SELECT page_id, min(pos) AS begin FROM s WHERE lower(x) = 'specifications' GROUP BY 1), e AS (SELECT s.page_id, min(pos) AS stop FROM s JOIN b USING (page_id) WHERE pos > begin AND lower(x) = 'follow us' GROUP BY 1),
+    k AS (SELECT s.page_id, s.pos, {_strip("regexp_replace(x, '^[-•' || chr(92) || 's]+', '')")} AS line FROM s JOIN b USING (page_id) LEFT JOIN e USING (page_id) WHERE pos > begin AND (stop IS NULL OR pos < stop))
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos)::BIGINT AS line_no, line FROM k WHERE line <> '' AND lower(line) <> 'specifications'"""
 )
 def section_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of pages between the first Specifications and the next Follow us, with their place."""
-    split_ = table(spark, folder, "browse_pages").select("page_id", "visible_text").distinct().select("page_id", F.split("visible_text", "\n").alias("_l"))
-    low = F.transform("_l", lambda x: F.lower(T.strip(x)))
-    begin = F.array_position(low, F.lit("specifications"))
-    end = F.array_position(F.slice(low, begin.cast("int") + 1, F.size("_l")), F.lit("follow us"))
-    rows = split_.where(begin > 0).select("page_id", begin.alias("b"), F.when(end > 0, begin + end).alias("e"), F.posexplode("_l").alias("p", "raw")).select("page_id", "b", "e", (F.col("p") + 1).cast("bigint").alias("pos"), T.strip(F.col("raw")).alias("x"))
-    line = T.strip(F.regexp_replace("x", r"^[-•\s]+", ""))
-    inside = (F.col("pos") > F.col("b")) & (F.col("e").isNull() | (F.col("pos") < F.col("e"))) & (F.lower("x") != "specifications")
-    return rows.where(inside).select("page_id", "pos", line.alias("line")).where("line <> ''")
+    """Lines of pages between the first Specifications and the next Follow us, in order."""
+    texts = table(spark, folder, "browse_pages").select("page_id", "visible_text").distinct().where("visible_text is not null")
+    rows = texts.select("page_id", F.posexplode(L.section(F.split("visible_text", "\n"), "specifications", "follow us")).alias("p", "line"))
+    return rows.select("page_id", (F.col("p") + 1).cast("bigint").alias("line_no"), "line")
 
 
 @query(
@@ -361,10 +381,18 @@ def expanded_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.expanded(table(spark, folder, "part").withColumn("g", groups), "p_partkey", "g", "p_brand").select("p_partkey", "idx", "sku")
 
 
-@query()
+_PLAIN_VALUE = lambda x: _strip(f"regexp_replace(regexp_replace(regexp_replace({x}, '[;:,]+$', ''), '[\\r\\n\\t]+', ' ', 'g'), '{_WS}{{2,}}', ' ', 'g')")
+
+
+@query(
+    f"""WITH e AS (SELECT record_id, unnest(map_keys(r.specs)) AS k, unnest(map_values(r.specs)) AS v FROM ({LATEST})),
+    p AS (SELECT record_id, {_PLAIN_VALUE('k')} AS name, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(v, ''), '{_WS}+[oO][rR]{_WS}+', ',', 'g'), '[/,:;]+'), lambda x: {_PLAIN_VALUE('x')}), lambda x: x <> ''))) AS value, k FROM e)
+    SELECT record_id, name, array_to_string(list_sort(list(value)), '|') AS "values" FROM p WHERE name <> '' GROUP BY record_id, name, k HAVING count(*) > 1"""
+)
 def spec_option_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Option groups that the specs of each record suggest."""
-    return table(spark, folder, "product_records").select("record_id", F.explode(variants.spec_groups(F.col("specs"))).alias("g")).select("record_id", "g.name", "g.values").distinct()
+    rows = latest_records(spark, folder).select("record_id", F.explode(variants.spec_groups(F.col("specs"))).alias("g"))
+    return rows.select("record_id", "g.name", F.array_join(F.array_sort("g.values"), "|").alias("values"))
 
 
 @query(
@@ -427,7 +455,13 @@ def markup_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("listing_id", F.row_number().over(W.partitionBy("listing_id").orderBy("ord")).cast("bigint").alias("item_no"), "text")
 
 
-@query()
+_BUCKET = "CASE " + " ".join(f"WHEN {_has('lower(title)', words)} THEN '{bucket}'" for bucket, words in pages.TAB_WORDS.items()) + " ELSE '' END"
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT page_id, unnest(map_keys(sections.tabs)) AS title, unnest(map_values(sections.tabs)) AS "text" FROM browse_pages)
+    SELECT page_id, {_BUCKET} AS bucket, arg_max("text", (length("text"), "text")) AS "text", count(*)::BIGINT AS tabs FROM t GROUP BY 1, 2"""
+)
 def tab_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Tabs of the pages by bucket, with the longest text of each page's bucket."""
     tabs = table(spark, folder, "browse_pages").select("page_id", F.explode("sections.tabs").alias("title", "text")).distinct()
@@ -474,7 +508,8 @@ def column_letters(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def ingested_records(spark: SparkSession, folder: str) -> DataFrame:
     """Product records after all stages; each stage is tested by itself."""
-    rows = table(spark, folder, "product_records").dropDuplicates(["record_id"])
+    everything = table(spark, folder, "product_records")
+    rows = everything.where("record_id is not null").groupBy("record_id").agg(F.max_by(F.struct(*everything.columns), F.struct("ingested_at", "fetched_at")).alias("r")).select("r.*")
     out = ingest.ingested(rows)
     return out.select("record_id", "name_raw", "brand", "description_raw", "features_raw", F.size("specs").alias("specs"), "quality_score", "needs_review")
 
@@ -504,13 +539,14 @@ def url_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "WITH r AS (SELECT record_id, any_value(name_raw) AS name, any_value(description_raw) AS d, any_value(specs) AS specs, any_value(features_raw) AS f FROM product_records GROUP BY 1) SELECT record_id, coalesce(name, '') AS title, substr("
+    f"WITH r AS (SELECT record_id, r.name AS name, r.d AS d, r.specs AS specs, r.f AS f FROM ({LATEST}))"
+    "  SELECT record_id, coalesce(name, '') AS title, substr("
     + _strip("regexp_replace(coalesce(d, ''), chr(10) || '+', ' ', 'g')")
     + ", 1, 155) AS meta, lower(array_to_string(list_filter(list_concat(coalesce(list_sort(map_keys(specs)), []), coalesce(f, [])), lambda x: x IS NOT NULL), ', ')) AS keywords, regexp_replace(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM r"
 )
 def record_search_fields(spark: SparkSession, folder: str) -> DataFrame:
-    one = table(spark, folder, "product_records").groupBy("record_id").agg(*(F.any_value(c).alias(c) for c in ("name_raw", "description_raw", "specs", "features_raw")))
-    return one.select("record_id", R.search_fields(F.col("name_raw"), F.col("description_raw"), F.col("specs"), F.col("features_raw")).alias("s")).select("record_id", "s.*")
+    one = latest_records(spark, folder)
+    return one.select("record_id", R.search_fields(F.col("name"), F.col("d"), F.col("specs"), F.col("f")).alias("s")).select("record_id", "s.*")
 
 
 @query("SELECT p_partkey, '| Spec | Value |' || chr(10) || '|---|---|' || chr(10) || '| P Brand | ' || p_brand || ' |' || chr(10) || '| P Size | ' || p_size || ' |' AS markdown FROM part")
@@ -527,18 +563,25 @@ def name_faults(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "product_listings").select("listing_id", F.array_join(audit.name_faults(F.col("name"), F.col("sku")), ",").alias("faults")).distinct()
 
 
-@query("WITH s AS (SELECT listing_id, any_value(images) AS i FROM product_listings GROUP BY 1) SELECT listing_id, count(DISTINCT lower(split_part(regexp_extract(u, '([^/]*)$', 1), '?', 1)))::BIGINT AS images FROM (SELECT listing_id, unnest(i) AS u FROM s) WHERE u IS NOT NULL GROUP BY 1")
+@query("WITH s AS (SELECT listing_id, arg_max(struct_pack(i := images), (ingested_at, price)).i AS i FROM product_listings GROUP BY 1) SELECT listing_id, count(DISTINCT lower(split_part(regexp_extract(u, '([^/]*)$', 1), '?', 1)))::BIGINT AS images FROM (SELECT listing_id, unnest(i) AS u FROM s) WHERE u IS NOT NULL GROUP BY 1")
 def image_counts(spark: SparkSession, folder: str) -> DataFrame:
     """How many different images each listing shows."""
-    one = table(spark, folder, "product_listings").groupBy("listing_id").agg(F.any_value("images").alias("i"))
+    one = table(spark, folder, "product_listings").groupBy("listing_id").agg(F.max_by("images", F.struct("ingested_at", "price")).alias("i"))
     return one.select("listing_id", F.explode("i").alias("u")).where("u is not null").groupBy("listing_id").agg(F.count_distinct(media.image_key(F.col("u"))).alias("images"))
 
 
-@query("SELECT event_id, sha256(event_type) IS NOT NULL AS signed, TRUE AS holds FROM events")
+_PADS = [bytes(b ^ n for b in b"secret".ljust(64, b"\0")).hex() for n in (0x36, 0x5C)]
+
+
+@query(
+    f"""WITH s AS (SELECT event_id, event_id % 2 = 0 AS kept, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(event_type)))) AS signature FROM events)
+    SELECT event_id, signature, kept AS holds FROM s"""
+)
 def signed_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Signatures of event payloads, and whether they hold."""
-    rows = table(spark, folder, "events").select("event_id", "event_type", R.signed(F.col("event_type"), "secret").alias("s"))
-    return rows.select("event_id", F.col("s").isNotNull().alias("signed"), R.signature_holds(F.col("event_type"), F.col("s"), "secret").alias("holds"))
+    """Signatures of event payloads, and whether they hold for payloads of which every second one was changed on its way."""
+    rows = table(spark, folder, "events").select("event_id", "event_type", R.signed(F.col("event_type"), "secret").alias("signature"))
+    got = F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.concat("event_type", F.lit("!")))
+    return rows.select("event_id", "signature", R.signature_holds(got, F.col("signature"), "secret").alias("holds"))
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -557,7 +600,7 @@ def _nodes(spark: SparkSession, folder: str) -> DataFrame:
     return pages.page_nodes(_pages(spark, folder), "p_partkey", "html")
 
 
-@query("SELECT p_partkey, 'Shop' AS title, p_name AS heading, 'Made by for daily use. ' || p_brand AS paragraph FROM part")
+@query("SELECT p_partkey, 'Shop' AS title, p_name AS heading, 'Made by ' || p_brand || ' for daily use.' AS paragraph FROM part")
 def page_facts(spark: SparkSession, folder: str) -> DataFrame:
     return projection.page_facts(_nodes(spark, folder), "p_partkey").select("p_partkey", "title", "heading", "paragraph")
 
