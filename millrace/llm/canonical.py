@@ -282,7 +282,8 @@ class Matcher:
     def ranked(self, text: str) -> tuple[int, int, int, int] | None:
         """(kind, distance, rank, entry) of the closest entry, or None if none is within the threshold.
 
-        It is the least of within(), found with a radius that shrinks to the least distance seen.
+        It is the least of within(), found with a radius that grows up to the threshold of each
+        reading and stops at the first that holds an entry.
         The least of several shards is that of the whole list. Kinds, the best first: an entry, a
         short form, an entry at a distance, a short form at a distance. The rank of the first two
         is the reading it was found by, of the others the distance with marks and blanks.
@@ -297,12 +298,16 @@ class Matcher:
         low = text.lower().strip()
         for kind, (tree, reach) in enumerate(((self.tree, threshold), (self.short_tree, short_threshold)), 2):
             found: dict[int, int] = {}
-            least = 10**6
-            for form in forms:
-                for d, _, ids in tree.within(form, min(reach(form), least)):
-                    least = min(least, d)
-                    for i in ids:
-                        found[i] = min(d, found.get(i, d))
+            reaches = [(form, reach(form)) for form in forms]
+            for most in range(1, max((r for _, r in reaches), default=0) + 1):  # a small radius prunes most, and suits most values
+                for form, r in reaches:
+                    if most <= r:
+                        for d, _, ids in tree.within(form, most):
+                            for i in ids:
+                                found[i] = min(d, found.get(i, d))
+                if found:
+                    break
+            least = min(found.values(), default=0)
             if found:
                 # ties: the entry closest with its marks and blanks, then the first
                 rank, entry = min((distance(low, self.raw[i], 60), i) for i, d in found.items() if d == least)
