@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+# Elements that end an open paragraph, and those a paragraph is looked for in.
+BREAKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+CLOSES |= {tag: {"p"} for tag in BREAKS}
+SCOPE = {tag: frozenset("article aside blockquote body button dd div dl fieldset footer form header li main nav object ol section table td th ul".split()) for tag in BREAKS}
+SCOPE |= {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 CHROME = frozenset({"nav", "header", "footer", "aside"})
 # Elements that only hold others: their text is that of the elements inside, so it is kept only where they are named.
 CONTAINERS = frozenset("html head body div section main article nav header footer aside form table thead tbody tfoot ul ol dl select".split())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import specs as S
-from millrace.operators import content as C, page_record
+from millrace.operators import browse, content as C, page_record, quality
 from millrace.plans.latest import LATEST, latest_records
 from millrace.plans.reference_queries import _WS, _strip, query
 from millrace.sources.tables import table
@@ -243,3 +243,51 @@ def fields_of_texts(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "pdf_texts").where("raw_text is not null and pdf_id is not null").select("pdf_id", "raw_text").distinct().groupBy("pdf_id").agg(F.any_value("raw_text").alias("raw_text"))
     pairs = F.array().cast("array<struct<key:string,value:string>>")
     return rows.select("pdf_id", F.explode(S.picked(pairs, F.col("raw_text"))))
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT listing_id, name, sku, brand, price, description, images, categories, meta_title FROM product_listings)
+    SELECT listing_id, e AS error, count(*)::BIGINT AS times FROM (SELECT listing_id, unnest(list_filter([
+      CASE WHEN name IS NULL THEN 'Schema: ''name'' is required' END, CASE WHEN sku IS NULL THEN 'Schema: ''sku'' is required' END, CASE WHEN brand IS NULL THEN 'Schema: ''brand'' is required' END, CASE WHEN price IS NULL THEN 'Schema: ''price'' is required' END,
+      CASE WHEN description IS NULL THEN 'Schema: ''description'' is required' END, CASE WHEN categories IS NULL THEN 'Schema: ''categories'' is required' END,
+      CASE WHEN length(name) < 3 THEN 'Schema: name is too short' END, CASE WHEN length(name) > 255 THEN 'Schema: name is too long' END, CASE WHEN length(sku) < 1 THEN 'Schema: sku is too short' END, CASE WHEN length(sku) > 60 THEN 'Schema: sku is too long' END,
+      CASE WHEN length(description) < 30 THEN 'Schema: description is too short' END, CASE WHEN length(meta_title) > 70 THEN 'Schema: meta_title is too long' END, CASE WHEN length(brand) < 1 THEN 'Schema: brand is too short' END, CASE WHEN price < 0 THEN 'Schema: price is below 0' END,
+      CASE WHEN len(images) = 0 THEN 'Schema: images is empty' END, CASE WHEN len(list_filter(images, lambda u: NOT coalesce(regexp_matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^\\s/]+[^\\s]*$'), false))) > 0 THEN 'Schema: images holds no address' END,
+      CASE WHEN len(categories) = 0 THEN 'Schema: categories is empty' END, CASE WHEN len(list_filter(categories, lambda c: length(c) < 2)) > 0 THEN 'Schema: a category is too short' END], lambda x: x IS NOT NULL)) AS e FROM l) GROUP BY 1, 2"""
+)
+def listing_schema_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Breaches of the product schema by listing, counted over its differing deliveries."""
+    names = ["name", "sku", "brand", "price", "description", "images", "categories", "meta_title"]
+    rows = table(spark, folder, "product_listings").select("listing_id", *names).distinct()
+    errors = rows.select("listing_id", F.explode(quality.product_errors({n: F.col(n) for n in names})).alias("error"))
+    return errors.groupBy("listing_id", "error").agg(F.count("*").alias("times"))
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT record_id, variant_id, sku, option_values FROM variants WHERE record_id IS NOT NULL), c AS (SELECT record_id, sku, count(*) AS n, count(*) FILTER (coalesce(len(option_values), 0) = 0) AS bare FROM v GROUP BY 1, 2)
+    SELECT record_id, 'BC: duplicate variant SKU ' || sku AS error, (n - 1)::BIGINT AS times FROM c WHERE sku IS NOT NULL AND n > 1 UNION ALL SELECT record_id, 'BC: variant ' || coalesce(sku, '') || ' missing option_values', bare::BIGINT FROM c WHERE bare > 0"""
+)
+def variant_rule_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Variants that share a sku or have no options, by record."""
+    rows = table(spark, folder, "variants").where("record_id is not null").select("record_id", "variant_id", "sku", "option_values").distinct()
+    return quality.variant_errors(rows, "record_id")
+
+
+_HEAD = "coalesce(sections.description, '')"
+_SECTION_LINES = lambda x: f"array_to_string(list_filter(list_transform(string_split(coalesce({x}, ''), chr(10)), lambda l: {_SQUEEZE('l')}), lambda l: l <> ''), chr(10))"
+
+
+@query(
+    f"""WITH p AS ({_PAGES}), v AS (SELECT page_id, {_SECTION_LINES('visible_text')} AS seen, sections FROM p WHERE visible_text IS NOT NULL)
+    SELECT page_id, CASE WHEN length(seen) >= 10 THEN md5(seen) END AS visible_digest, {_SECTION_LINES('sections.specifications')} AS specifications, {_SECTION_LINES('sections.features')} AS features FROM v WHERE length(seen) >= 10"""
+)
+def browsed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Text and sections read back from pages: lines as paragraphs of the main part, sections behind it, a menu around them."""
+    rows = table(spark, folder, "browse_pages").groupBy("page_id").agg(*(F.any_value(c).alias(c) for c in ("visible_text", "sections"))).where("visible_text is not null")
+    lines = lambda c, tag: F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.concat(F.lit(f"<{tag}>"), _escaped(x))), "")
+    html = F.concat(
+        F.lit("<nav><p>Shop</p></nav><script>var a = 1;</script><main>"), lines(F.col("visible_text"), "p"), F.lit('<div class="side menu"><p>Offers</p></div></main><div class="specs"><ul>'),
+        lines(F.col("sections.specifications"), "li"), F.lit("</ul></div><h3>Key features</h3><ul>"), lines(F.col("sections.features"), "li"), F.lit("</ul>"),
+    )
+    got = browse.browsed(rows.select("page_id", html.alias("html")))
+    return got.where(F.length("visible_text") >= 10).select("page_id", F.md5("visible_text").alias("visible_digest"), F.coalesce("sections.specifications", F.lit("")).alias("specifications"), F.coalesce("sections.features", F.lit("")).alias("features"))

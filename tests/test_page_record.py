@@ -89,3 +89,31 @@ def test_picked_fields(value):
     pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("seat_height", "18 in"), ("max user weight", "300 lb"), ("what's included", "bag"), ("model no.", "X1"), ("models", "no"), ("total weight", "9"))))
     got = value(S.picked(pairs, F.lit("Torque: 9 Nm  for all bolts. Seat height: 99")))
     assert got == {"seat_height": "18 in", "adjustable_seat_height": "18 in", "height": "18 in", "weight_capacity": "300 lb", "weight": "300 lb", "included_items": "bag", "included_section": "bag", "model_number": "X1", "torque": "9 Nm for all bolts. Seat height: 99"}
+
+
+def test_browsed(spark):
+    from millrace.operators import browse
+
+    html = """<head><meta name=description content="Meta text"><title>T</title></head><nav><a href=/home>Home</a></nav><main><h1>Chair</h1><p>Folds flat<div class="side menu"><p>Offers</p></div><p hidden>No</p><p style="display: none">No</p>
+    <div id=tab-1>Package includes one bag</div><dl><dt>Depth<dd>9 in</dl></main><h3>Key Features</h3><ul><li>Light<li>Strong</ul><img src=/a.jpg alt=A width=40><div style="background: url('/b.jpg')"></div>
+    <a href="/x/Manual.pdf">User manual</a><a href=/data.json>d</a><script type="application/json">{"specs": [{"name": "Seat Width", "value": "20 in"}], "related": [{"name": "Other", "value": "x"}]}</script>
+    <script>window.__NEXT_DATA__ = {"attributes": [{"label": "Max Load", "displayValue": 300}], "bad": }; var spec = {"key": "Color", "val": "Red"};</script>"""
+    frame = spark.createDataFrame([(1, html, "x"), (2, None, None), (3, "", None)], "id int, html string, links string")
+    rows = {r.id: r for r in browse.browsed(frame).collect()}
+    r = rows[1]
+    assert r.visible_text == "Chair\nFolds flat\nPackage includes one bag\nDepth\n9 in"
+    assert (r.sections.description, r.sections.features, r.sections.included, r.sections.dl, r.sections.tabs) == ("Meta text", "Light\nStrong", "Package includes one bag", "Depth\n9 in", {"tab-1": "Package includes one bag"})
+    assert (r.links.pdfs, r.links.jsons, r.backgrounds, r.images[0].alt) == (["/x/Manual.pdf"], ["/data.json"], ["/b.jpg"], "A")
+    assert [(h.href, h.hint) for h in r.hints] == [("/x/Manual.pdf", "manual")]
+    assert [(s.key, s.value) for s in r.script_specs] == [("Seat Width", "20 in"), ("Max Load", "300"), ("Color", "Red")]
+    assert rows[2].visible_text == "" and rows[3].links.anchors == []
+
+
+def test_schema(value):
+    from millrace.operators import quality as Q
+
+    good = {"name": F.lit("Chair"), "sku": F.lit("s"), "brand": F.lit("b"), "price": F.lit(1.0), "description": F.lit("x" * 30), "categories": F.array(F.lit("Mobility")), "images": F.array(F.lit("https://a.example/x.jpg"))}
+    assert value(Q.product_errors(good)) == []
+    bad = good | {"price": F.lit(-1.0), "images": F.array(F.lit("x.jpg")), "categories": F.array().cast("array<string>"), "brand": F.lit(None).cast("string"), "faq": F.array(F.struct(F.lit("q").alias("q"), F.lit(None).cast("string").alias("a")))}
+    assert value(Q.product_errors(bad)) == ["Schema: 'brand' is required", "Schema: price is below 0", "Schema: images holds no address", "Schema: categories is empty", "Schema: faq lacks a question or an answer"]
+    assert value(Q.text_errors({"h1": F.lit(""), "title": F.lit("t" * 101)}, Q.SEARCH_TEXTS)) == ["/h1 must NOT have fewer than 1 characters", "/title must NOT have more than 100 characters", "/ must have required property 'meta_description'"]
