@@ -205,6 +205,16 @@ class Reader:
         self.words = words
         self.longest = max(map(len, words), default=0)
         self.memo: dict[str, str | None] = {}
+        self.looked: dict[str, tuple[str | None, bool] | None] = {}
+
+    def look(self, raw: str) -> tuple[str | None, bool] | None:
+        """None for a word that reads well, else (what it means, is it unsure)."""
+        if raw not in self.looked:
+            if len(self.looked) > 200_000:
+                self.looked.clear()
+            meant, unsure = self.meant(raw), self.unsure(raw)
+            self.looked[raw] = (meant, unsure) if unsure or meant is not None and meant != raw.lower() else None
+        return self.looked[raw]
 
     def meant(self, raw: str) -> str | None:
         """The word or number as it should read in lower case, or None if it reads well or isn't known."""
@@ -286,25 +296,35 @@ def _words(line: str) -> list[str]:
     return [w for w in (t.strip(_EDGE) for t in line.split()) if w]
 
 
+Ask = tuple[int, str, str, str | None]  # line number, kind of flaw, the word asked for, what it is taken for without an answer
+
+
 def flaws(
-    text: str, words: dict[str, float], shares: dict[str, float], reader: Reader | None = None, rare: dict[str, str] | None = None, asked: set[str] | None = None
+    text: str, words: dict[str, float], shares: dict[str, float], reader: Reader | None = None, rare: dict[str, str] | None = None, asked: list[Ask] | None = None
 ) -> tuple[list[tuple[int, str, str]], list[str]]:
     """(line number, kind, how it should read) of every flaw, and the repaired paragraphs.
 
-    ``rare`` tells what words stand for that ``words`` leaves open, ``asked`` takes up those words: as they
-    stand in lower case, and a broken one as a line feed, its first part, a line feed and the rest.
+    ``rare`` tells what words stand for that ``words`` leaves open. With ``asked`` the flaws at
+    such words aren't told but taken up there: the words as they stand in lower case, a broken
+    one as a line feed, its first part, a line feed and the rest.
     """
     reader = reader or Reader(words)
     rare = rare or {}
-    own = Counter(w.lower() for w in _words(text))
-
-    def read(core: str) -> str | None:
-        meant, word = reader.meant(core), core.lower()
-        if not reader.unsure(core):
-            return meant
+    own: Counter[str] | None = None
+
+    def read(core: str, n: int) -> tuple[str | None, bool]:
+        """(what the word means, is the flaw told now)"""
+        nonlocal own
+        told = reader.look(core)
+        if told is None or not told[1]:
+            return told and told[0], True
+        word = core.lower()
+        if own is None:
+            own = Counter(w.lower() for w in _words(text))
+        otherwise = reader.repeated(word, own) or told[0]
         if asked is not None:
-            asked.add(word)
-        return rare.get(word) or reader.repeated(word, own) or meant
+            asked.append((n, "misread", word, otherwise))
+        return rare.get(word) or otherwise, asked is None
 
     lines = text.split("\n")
     labels = label_lines(lines, shares)
@@ -331,8 +351,11 @@ def flaws(
             start, first = carried
             carried = None
             body = tokens[0].rstrip(_EDGE)
-            whole = _joined(first, body, reader, rare, asked)
-            found.append((start, "hyphen_break", whole))
+            whole, ask = _joined(first, body, reader, rare)
+            if ask and asked is not None:
+                asked.append((start, "hyphen_break", ask, whole))
+            else:
+                found.append((start, "hyphen_break", whole))
             lead = open_text.pop() if open_text else ""
             open_text.append(_as_written(lead, first, whole, tokens[0][len(body) :]))
             tokens = tokens[1:]
@@ -346,9 +369,10 @@ def flaws(
                 carried = (n, token[: token.rfind(mark)].lstrip(_EDGE))
                 open_text.append(token)
                 continue
-            meant = read(core) if core else None
+            meant, told = read(core, n) if core else (None, True)
             if meant is not None and meant != core.lower():
-                found.append((n, "misread", meant))
+                if told:
+                    found.append((n, "misread", meant))
                 token = token.replace(core, meant.capitalize() if core[:1].isupper() else meant)
             open_text.append(token)
         if label == "T" and not broken:
@@ -367,24 +391,20 @@ def _continues(lines: list[str], labels: str, n: int) -> bool:
     return False
 
 
-def _joined(first: str, rest: str, reader: Reader, rare: dict[str, str], asked: set[str] | None = None) -> str:
-    """A broken word whole: without the hyphen if the corpus knows it so, with it if it knows only that."""
+def _joined(first: str, rest: str, reader: Reader, rare: dict[str, str]) -> tuple[str, str | None]:
+    """(a broken word whole, what to ask for it): without the hyphen if the corpus knows it so, with it if it knows only that."""
     plain, hyphen = (first + rest).lower(), f"{first}-{rest}".lower()
     if plain in reader.words:
-        return plain
-    if hyphen in reader.words:
-        return hyphen
-    if rest[:1].isdigit():
-        return hyphen
+        return plain, None
+    if hyphen in reader.words or rest[:1].isdigit():
+        return hyphen, None
     a, b = reader.meant(first + rest), reader.meant(f"{first}-{rest}")
     if a and a in reader.words:
-        return a
+        return a, None
     if b and b in reader.words:
-        return b
+        return b, None
     ask = f"\n{first}\n{rest}".lower()
-    if asked is not None:
-        asked.add(ask)
-    return rare.get(ask) or a or plain
+    return rare.get(ask) or a or plain, ask
 
 
 def _as_written(lead: str, first: str, whole: str, tail: str) -> str:
@@ -488,50 +508,71 @@ def rare_meanings(asks: DataFrame, counted: DataFrame, words: dict[str, float])
     return sound.groupBy("ask").agg(F.min_by("value", F.struct("layer", -F.col("docs"), "value")).alias("meant"))
 
 
-_FLAWS = "flaws:array<struct<line_no:bigint,kind:string,fixed:string>>,paragraphs:array<string>"
-
+_FLAWS = "array<struct<line_no:bigint,kind:string,fixed:string>>"
+_ASKS = "array<struct<line_no:bigint,kind:string,ask:string,otherwise:string>>"
 
-def _read(pdfs: DataFrame, key: str, text: str, *parts: str) -> DataFrame:
-    """(key, parts): of the flaws and paragraphs of each row's text those asked for.
 
-    Texts are read with the broadcast words; what these leave open is joined with the counts of
-    all words, and the texts for which that tells something are read again.
-    """
+def _rows_of(pdfs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, dict[str, float], dict[str, float]]:
+    """(key, text) of the texts, the counts of all words and lines, and what of them is broadcast."""
     rows = pdfs.select(F.col(key), F.col(text).alias("text"))
     counted = corpus_counts(rows)
     words, shares = corpus_facts(rows, counted)
-    words = clean_lexicon(words)
+    return rows.where(F.col(key).isNotNull()), counted, clean_lexicon(words), shares
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+
+def _first_reading(words: dict[str, float], shares: dict[str, float]):
+    """A UDF that gives the sure flaws of each text and what is to be asked for."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         reader = Reader(words)
-        for texts, known in batches:
-            got, asks = [], []
-            for t, rare in zip(texts, known):
-                asked: set[str] = set()
-                got.append(flaws(t, words, shares, reader, {x["ask"]: x["meant"] for x in rare}, asked) if isinstance(t, str) else ([], []))
-                asks.append(sorted(asked))
-            yield pd.DataFrame({"flaws": [[{"line_no": a, "kind": b, "fixed": c} for a, b, c in f] for f, _ in got], "paragraphs": [p for _, p in got], "asks": asks})
+        for texts in batches:
+            flawed, asks = [], []
+            for t in texts:
+                asked: list[Ask] = []
+                told = flaws(t, words, shares, reader, asked=asked)[0] if isinstance(t, str) else []
+                flawed.append([{"line_no": a, "kind": b, "fixed": c} for a, b, c in told])
+                asks.append([{"line_no": a, "kind": b, "ask": c, "otherwise": d} for a, b, c, d in asked])
+            yield pd.DataFrame({"flaws": flawed, "asks": asks})
 
     # Said to be nondeterministic, so that no part of the struct makes it run again.
-    result = F.pandas_udf(run, f"struct<{_FLAWS},asks:array<string>>").asNondeterministic()
-    rows = rows.where(F.col(key).isNotNull()).withColumn("_h", F.sha2("text", 256))
-    nothing = F.array().cast("array<struct<ask:string,meant:string>>")
-    fields = [f"r.{p}" for p in parts]
-    once = cut(rows.select(key, "_h", result("text", nothing).alias("r")).select(key, "_h", *fields, "r.asks"))
-    asks = once.select("_h", F.explode("asks").alias("ask")).distinct()
-    told = cut(asks.join(rare_meanings(asks, counted, words), "ask").groupBy("_h").agg(F.collect_list(F.struct("ask", "meant")).alias("_rare")))
-    again = rows.join(told, "_h").select(key, result("text", "_rare").alias("r")).select(key, *fields)
-    return once.join(told.select("_h"), "_h", "left_anti").select(key, *parts).union(again)
+    return F.pandas_udf(run, f"struct<flaws:{_FLAWS},asks:{_ASKS}>").asNondeterministic()
 
 
 def repaired(pdfs: DataFrame, key: str = "pdf_id", text: str = "raw_text") -> DataFrame:
     """(key, flaws, paragraphs): the flaws of each text and its repaired paragraphs, in order.
 
-    Null and blank texts have neither. A text that repeats under its key comes out once.
+    Null and blank texts have neither. A text that repeats under its key comes out once. Texts
+    are read with the broadcast words; what these leave open is joined with the counts of all
+    words, and every text is read again with the answers.
     """
-    return _read(pdfs, key, text, "flaws", "paragraphs").distinct()
+    rows, counted, words, shares = _rows_of(pdfs, key, text)
+    rows = rows.dropDuplicates([key, "text"]).withColumn("_h", F.sha2(F.coalesce("text", F.lit("")), 256))
+    first = _first_reading(words, shares)
+    asks = cut(rows.select("_h", F.explode(first("text")["asks"]["ask"]).alias("ask")).distinct())
+    told = asks.join(rare_meanings(asks, counted, words), "ask").groupBy("_h").agg(F.collect_list(F.struct("ask", "meant")).alias("_rare"))  # those of one text
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        reader = Reader(words)
+        for texts, known in batches:
+            got = [flaws(t, words, shares, reader, {x["ask"]: x["meant"] for x in rare}) if isinstance(t, str) else ([], []) for t, rare in zip(texts, known)]
+            yield pd.DataFrame({"flaws": [[{"line_no": a, "kind": b, "fixed": c} for a, b, c in f] for f, _ in got], "paragraphs": [p for _, p in got]})
+
+    again = F.pandas_udf(run, f"struct<flaws:{_FLAWS},paragraphs:array<string>>").asNondeterministic()
+    nothing = F.array().cast("array<struct<ask:string,meant:string>>")
+    return rows.join(told, "_h", "left").select(key, again("text", F.coalesce("_rare", nothing)).alias("r")).select(key, "r.flaws", "r.paragraphs").distinct()
 
 
 def found_flaws(pdfs: DataFrame) -> DataFrame:
-    """(pdf_id, line_no, kind, fixed) of every flaw."""
-    return _read(pdfs, "pdf_id", "raw_text", "flaws").select("pdf_id", F.inline("flaws")).distinct()
+    """(pdf_id, line_no, kind, fixed) of every flaw.
+
+    Each text is read once. What the broadcast words leave open at a place is joined with what
+    the counts of all words tell of it.
+    """
+    rows, counted, words, shares = _rows_of(pdfs, "pdf_id", "raw_text")
+    once = cut(rows.select("pdf_id", _first_reading(words, shares)("text").alias("r")).select("pdf_id", "r.*"))
+    sure = once.select("pdf_id", F.inline("flaws"))
+    open_ = once.select("pdf_id", F.inline("asks"))
+    answers = rare_meanings(open_, counted, words).withColumnsRenamed({"ask": "_ask"})
+    fixed = open_.join(answers, F.col("ask") == F.col("_ask"), "left").withColumn("fixed", F.coalesce("meant", "otherwise"))
+    settled = fixed.where(F.col("fixed").isNotNull() & (F.col("fixed") != F.col("ask"))).select("pdf_id", "line_no", "kind", "fixed")
+    return sure.union(settled).distinct()

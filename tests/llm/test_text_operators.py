@@ -8,7 +8,7 @@ from millrace.llm import canonical, encoding, mixing, packing
 from millrace.llm.boilerplate import Classifier, all_furniture, furniture, main_bodies
 from millrace.llm.canonical import BkTree, Matcher, distance, short_forms, threshold
 from millrace.llm.listings import identity, measures, product_groups, product_pairs, respelled, suffix_measure
-from millrace.llm.scans import clean_lexicon, flaws, found_flaws, label_lines, rare_meanings
+from millrace.llm.scans import clean_lexicon, flaws, found_flaws, label_lines, rare_meanings, repaired
 from millrace.llm.setjoin import containment_join, star_clusters
 from millrace.llm.queries import VOCABULARY
 from millrace.llm.tokens import count_tokens
@@ -265,6 +265,16 @@ def test_rare_words_are_known(spark):
     assert got == {(2, "misread", "iskarra"), (2, "misread", "door"), (3, "hyphen_break", "anti-tip"), (4, "misread", "zulvatade")}
 
 
+def test_repaired_agrees_with_the_flaws(spark):
+    texts = [SCAN] * 4 + ["The wheel must turn before use."] * 50 + ["The 1skarra wheel must turn.", "The iskarra door must turn.", "The wheel and the anti-\ntip must turn.", "The anti-tip wheel.", None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "pdf_id long, raw_text string")
+    rows = repaired(frame).collect()
+    told = {(r.pdf_id, f.line_no, f.kind, f.fixed) for r in rows for f in r.flaws}
+    assert told == {tuple(r) for r in found_flaws(frame).collect()} and len(rows) == len(texts)
+    by_id = {r.pdf_id: r.paragraphs for r in rows}
+    assert by_id[54] == ["The iskarra wheel must turn."] and by_id[56] == ["The wheel and the anti-tip must turn."] and by_id[58] == by_id[59] == []
+
+
 def test_rare_words_far_more_frequent(spark):
     counted = spark.createDataFrame([("w", "iskarra", 26), ("w", "iskarro", 1), ("w", "vornumic", 25), ("w", "vornumie", 1), ("w", "tallolero", 1), ("w", "tallotero", 1)], "kind string, value string, whole long")
     asks = spark.createDataFrame([(w,) for w in ("iskarro", "iskorra", "vornumie", "tallolero", "tallotero")], "ask string")
