@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.text import plain_value, value_list
+from millrace.functions.text import bound, plain_value, value_list
 
 _GROUPS = "array<struct<name:string,values:array<string>>>"
 _COMBOS = "array<array<struct<option_name:string,value:string>>>"
@@ -29,6 +29,35 @@ def offer_groups(offers: Column) -> Column:
     return F.filter(F.array(group("Color", "color"), group("Size", "size")), lambda g: F.size(g["values"]) > 0)
 
 
+def merged_groups(groups: Column) -> Column:
+    """Groups of equal names as one, in the order of their first, each value once."""
+
+    def one(gs: Column) -> Column:
+        names = F.array_distinct(F.transform(gs, lambda g: g["name"]))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.array_distinct(F.flatten(F.transform(F.filter(gs, lambda g: g["name"] == n), lambda g: g["values"]))).alias("values")))
+
+    return bound(groups, one)
+
+
+def option_groups(specs: Column, texts: Column, marked: Column, offers: Column | None = None) -> Column:
+    """All option groups of a product: of its specs, of its texts (as Variant), of offers and of its page's markup; those of one value are left out."""
+    none = F.array().cast(_GROUPS)
+    told = bound(text_values(texts), lambda v: F.when(F.size(v) > 0, F.array(F.struct(F.lit("Variant").alias("name"), v.alias("values")))).otherwise(none))
+    plain = F.transform(F.coalesce(marked, none), lambda g: F.struct(plain_value(g["name"]).alias("name"), F.transform(g["values"], plain_value).alias("values")))
+    every = F.concat(spec_groups(specs), told, none if offers is None else F.coalesce(offer_groups(offers), none), plain)
+    return F.filter(merged_groups(every), lambda g: (g["name"] != "") & (F.size(g["values"]) > 1))
+
+
+def page_variants(records: DataFrame, key: str) -> DataFrame:
+    """(key, idx, sku, option_values) of every combination of the options that page records state.
+
+    ``records`` has key and the specs, features_raw, description_raw, option_groups and sku of page_record.page_records.
+    """
+    texts = F.concat(F.coalesce("features_raw", F.array().cast("array<string>")), F.array(F.coalesce("description_raw", F.lit(""))))
+    grouped = records.select(key, F.col("sku").alias("_sku"), option_groups(F.col("specs"), texts, F.col("option_groups")).alias("_groups")).where(F.size("_groups") > 0)
+    return expanded(grouped, key, "_groups", "_sku")
+
+
 def combinations(groups: Column, most: int = 10_000) -> Column:
     """All combinations of one value a group, the last group running fastest.
 

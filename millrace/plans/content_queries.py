@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import specs as S
-from millrace.operators import browse, content as C, page_record, quality
+from millrace.operators import browse, content as C, page_record, quality, variants
 from millrace.plans.latest import LATEST, latest_records
 from millrace.plans.reference_queries import _WS, _strip, query
 from millrace.sources.tables import table
@@ -222,12 +222,30 @@ _OPTIONS = "SELECT record_id, o.option_name AS name, o.value AS value FROM (SELE
 )
 def option_groups_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Option names and values read back from select lists of pages."""
+    groups = page_record.page_parts(_option_pages(spark, folder)).select("record_id", F.inline("options"))
+    return groups.select("record_id", "name", F.array_join(F.array_sort("values"), "|").alias("values"))
+
+
+def _option_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with a select list for each option name of a record's variants: (record_id, html)."""
     rows = table(spark, folder, "variants").where("record_id is not null").select("record_id", "variant_id", "option_values").distinct().select("record_id", F.inline("option_values")).where("option_name is not null and value is not null")
     each = rows.groupBy("record_id", "option_name").agg(F.array_sort(F.collect_set("value")).alias("v"))  # the values of one option of one record
     select = F.concat(F.lit('<select data-option-name="'), _escaped(F.col("option_name")), F.lit('"><option>Select one'), F.array_join(F.transform("v", lambda x: F.concat(F.lit("<option>"), _escaped(x))), ""), F.lit("</select>"))
-    pages = each.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_list(select)), "").alias("html"))
-    groups = page_record.page_parts(pages).select("record_id", F.inline("options"))
-    return groups.select("record_id", "name", F.array_join(F.array_sort("values"), "|").alias("values"))
+    return each.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_list(select)), "").alias("html"))
+
+
+_PLAIN_OPTION = lambda x: _strip(f"regexp_replace(regexp_replace({x}, '[;:,]+$', ''), '{_WS}+', ' ', 'g')")
+
+
+@query(
+    f"""WITH o AS (SELECT record_id, {_PLAIN_OPTION("regexp_replace(name, '[_-]+', ' ', 'g')")} AS name, {_PLAIN_OPTION(_SQUEEZE('value'))} AS value, starts_with(lower({_SQUEEZE('value')}), 'select') AS cue, name AS own, {_SQUEEZE('value')} AS raw FROM ({_OPTIONS})),
+    g AS (SELECT record_id, name, own, list(DISTINCT value) AS v FROM o WHERE raw <> '' AND NOT cue GROUP BY 1, 2, 3 HAVING count(DISTINCT raw) > 1), m AS (SELECT record_id, name, len(list_distinct(flatten(list(v)))) AS n FROM g WHERE name <> '' GROUP BY 1, 2)
+    SELECT record_id, product(n)::BIGINT AS variants, (product(n) - 1)::BIGINT AS last FROM m WHERE n > 1 GROUP BY 1"""
+)
+def page_variant_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many combinations of options pages state, numbered without a gap."""
+    made = variants.page_variants(page_record.page_records(_option_pages(spark, folder).withColumn("url", F.lit("https://shop.example/p"))), "record_id")
+    return made.groupBy("record_id").agg(F.count("*").alias("variants"), F.max("idx").alias("last"))
 
 
 _PLAIN = _SQUEEZE("regexp_replace(regexp_replace(regexp_replace(raw_text, '[“”]', '\"', 'g'), '[‘’]', '''', 'g'), '[–—]', '-', 'g')")

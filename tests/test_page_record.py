@@ -117,3 +117,13 @@ def test_schema(value):
     bad = good | {"price": F.lit(-1.0), "images": F.array(F.lit("x.jpg")), "categories": F.array().cast("array<string>"), "brand": F.lit(None).cast("string"), "faq": F.array(F.struct(F.lit("q").alias("q"), F.lit(None).cast("string").alias("a")))}
     assert value(Q.product_errors(bad)) == ["Schema: 'brand' is required", "Schema: price is below 0", "Schema: images holds no address", "Schema: categories is empty", "Schema: faq lacks a question or an answer"]
     assert value(Q.text_errors({"h1": F.lit(""), "title": F.lit("t" * 101)}, Q.SEARCH_TEXTS)) == ["/h1 must NOT have fewer than 1 characters", "/title must NOT have more than 100 characters", "/ must have required property 'meta_description'"]
+
+
+def test_page_variants(spark):
+    from millrace.operators import variants as V
+
+    rows = [(1, {"color": "red or blue", "size": "S"}, ["Available in oak, ash"], None, [("color", ["blue", "green"]), ("only", ["x"])], "C"), (2, {}, None, None, None, None), (3, None, [], "", [], "")]
+    frame = spark.createDataFrame(rows, "id int, specs map<string,string>, features_raw array<string>, description_raw string, option_groups array<struct<name:string,values:array<string>>>, sku string")
+    got = V.page_variants(frame, "id").orderBy("idx").collect()
+    assert [(r.id, r.idx, [(o.option_name, o.value) for o in r.option_values]) for r in got] == [(1, i, [("color", c), ("Variant", w)]) for i, (c, w) in enumerate((c, w) for c in ("red", "blue", "green") for w in ("oak", "ash"))]
+    assert V.page_variants(frame.limit(0), "id").count() == 0
