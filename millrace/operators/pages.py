@@ -62,6 +62,8 @@ class _Builder(HTMLParser):
         )
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
+        if tag == "br":
+            self.handle_data(" ")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
