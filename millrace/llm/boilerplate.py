@@ -185,12 +185,13 @@ def fitted(pages: list[Page]) -> tuple[Lexicon, Tree]:
     """
     lexicon = Lexicon([row for _, _, rows in pages for row in rows])
     shuffle = np.random.default_rng(7)
+    block = lru_cache(maxsize=None)(lambda line, label: _Block(line, lexicon, label))
     xs, ys = [], []
     for own, targets, rows in pages:
         for n, copy in enumerate((rows, [(label, line.upper() if label else line) for label, line in rows], *([rows[i] for i in shuffle.permutation(len(rows))] for _ in range(SHUFFLES)))):
             labels = [label for label, _ in copy]
             for without in (None, labels, labels):
-                xs.append(np.array(block_features([_Block(line, lexicon, label if without else None) for label, line in copy], own, targets if n % 2 == 0 else frozenset())))
+                xs.append(np.array(block_features([block(line, label if without else None) for label, line in copy], own, targets if n % 2 == 0 else frozenset())))
                 ys.append(np.array(labels, float))
     return lexicon, Tree(np.concatenate(xs), np.concatenate(ys))
 
@@ -203,8 +204,8 @@ def trained() -> tuple[Lexicon, Tree]:
 class Classifier:
     """Tells furniture on many pages at a time; lines that come again are looked at once."""
 
-    def __init__(self, memory: int = 100_000):
-        self.lexicon, self.tree = trained()
+    def __init__(self, model: tuple[Lexicon, Tree] | None = None, memory: int = 100_000):
+        self.lexicon, self.tree = model or trained()
         self.memory = memory
         self.known: dict[str, _Block] = {}
         self.sites: dict[str | None, frozenset[str]] = {}
@@ -248,16 +249,28 @@ def furniture(lines: list[str | None], url: str | None = None, anchors=None, sit
     return Classifier().furniture([(lines, url, anchors, site)])[0]
 
 
-def _lines_of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    tell = Classifier()
-    for texts, urls, anchors, sites in batches:
-        yield pd.Series(tell.furniture([(t.split("\n"), u, a, s) for t, u, a, s in zip(texts, urls, anchors, sites)]))
+def _lines_of():
+    """A UDF of (text, url, link targets, site's link targets); the model is trained on the driver and goes with it."""
+    model = trained()
 
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        tell = Classifier(model)
+        for texts, urls, anchors, sites in batches:
+            yield pd.Series(tell.furniture([(t.split("\n"), u, a, s) for t, u, a, s in zip(texts, urls, anchors, sites)]))
 
-def _elements_of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    tell = Classifier()
-    for lists, urls, sites in batches:
-        yield pd.Series(tell.furniture([(list(e), u, None, s) for e, u, s in zip(lists, urls, sites)]))
+    return F.pandas_udf(run, "array<bigint>")
+
+
+def _elements_of():
+    """The same of (elements, url, site's link targets)."""
+    model = trained()
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        tell = Classifier(model)
+        for lists, urls, sites in batches:
+            yield pd.Series(tell.furniture([(list(e), u, None, s) for e, u, s in zip(lists, urls, sites)]))
+
+    return F.pandas_udf(run, "array<bigint>")
 
 
 LEAST_LINKED = 0.02  # share of a site's pages that link a target of its navigation
@@ -291,14 +304,14 @@ def page_furniture(pages: DataFrame, sites: DataFrame | None = None) -> DataFram
     """
     rows = pages.where(F.col("visible_text").isNotNull() & F.col("page_id").isNotNull()).select("page_id", "visible_text", "source_url", F.col("links.anchors").alias("anchors"))
     rows = _with_site(rows, "source_url", site_targets(pages) if sites is None else sites)
-    found = F.pandas_udf(_lines_of, "array<bigint>")("visible_text", "source_url", "anchors", "_site")
+    found = _lines_of()("visible_text", "source_url", "anchors", "_site")
     return rows.select(F.lit("visible_text").alias("src"), F.col("page_id").alias("row_id"), F.explode(found).alias("pos")).distinct()
 
 
 def feature_furniture(records: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """(src, row_id, pos) of the furniture elements of records' features_raw; null lists and elements have none."""
     rows = records.where((F.size("features_raw") > 0) & F.col("record_id").isNotNull()).select("record_id", "features_raw", "source")
-    found = F.pandas_udf(_elements_of, "array<bigint>")("features_raw", "source", "_site")
+    found = _elements_of()("features_raw", "source", "_site")
     return _with_site(rows, "source", sites).select(F.lit("features_raw").alias("src"), F.col("record_id").alias("row_id"), F.explode(found).alias("pos")).distinct()
 
 
@@ -311,7 +324,7 @@ def all_furniture(pages: DataFrame, records: DataFrame) -> DataFrame:
 def main_bodies(pages: DataFrame) -> DataFrame:
     """(page_id, body): the lines of each page's main body, in order; '' where none is left, null for a null text."""
     rows = _with_site(pages.select("page_id", "visible_text", "source_url", F.col("links.anchors").alias("anchors")), "source_url", site_targets(pages))
-    found = F.pandas_udf(_lines_of, "array<bigint>")(F.coalesce("visible_text", F.lit("")), "source_url", "anchors", "_site")
+    found = _lines_of()(F.coalesce("visible_text", F.lit("")), "source_url", "anchors", "_site")
     rows = rows.select("page_id", F.split("visible_text", "\n").alias("_lines"), found.alias("_out"))
     kept = F.filter("_lines", lambda x, i: (F.trim(x) != "") & ~F.array_contains("_out", (i + 1).cast("bigint")))
     return rows.select("page_id", F.array_join(kept, "\n").alias("body"))
