@@ -41,8 +41,12 @@ def printable_share(x: Column) -> Column:
 
 def english_by_ascii(line: Column) -> Column:
     """At least 0.7 of the stripped line is printable ASCII; blank lines aren't English."""
-    ascii_, all_ = printable_share(strip(line))
-    return (all_ > 0) & (ascii_ * 10 >= all_ * 7)
+
+    def told(x: Column) -> Column:
+        ascii_, all_ = printable_share(x)
+        return (all_ > 0) & (~x.rlike(r"[^\x20-\x7e]") | (ascii_ * 10 >= all_ * 7))
+
+    return bound(strip(line), told)
 
 
 def english_unmarked(line: Column) -> Column:

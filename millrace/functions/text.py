@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 # White space as page scripts count it, spelt out because regex dialects differ about \s.
 WS = r"[\t\n\x0B\f\r    -     　﻿]"
+#: The same characters one by one.
+WS_CHARACTERS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Second-level domains under which names are registered.
 TWO_PART_DOMAINS = ["co.uk", "org.uk", "gov.uk", "ac.uk", "com.au", "net.au", "co.jp"]
 CDN_HOSTS = "cdn|cloudfront|akamai|akamaized|azureedge|fastly|shopifycdn|bigcommerce|mzstatic|cdn.shopify"
@@ -36,8 +38,8 @@ def squeeze(x: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    """White space of any kind off both ends."""
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    """White space of any kind off both ends; only these are looked at."""
+    return F.btrim(x, F.lit(WS_CHARACTERS))
 
 
 def non_blank(x: Column) -> Column:
